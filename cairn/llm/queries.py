@@ -8,11 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.bpe import encode_corpus
+from cairn.llm.leaks import find_leaks
+from cairn.llm.leximin import leximin_ranking, leximin_vectors, strong_everywhere
 from cairn.llm.reading import calibrated, demanding, reading_level
 from cairn.llm.split import split_pieces
 from cairn.tables import table
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strong_everywhere(leximin_vectors(table(spark, sf_dir, "ranked"))).select("query_id", "filepath")
+
+
+def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = leximin_ranking(table(spark, sf_dir, "ranked"))
+    return ranked.select("query_id", "filepath", "n_lists", "present", F.round(F.col("weakest_first")[0], 6).alias("weakest"), "position")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = table(spark, sf_dir, "content").select("hash", "doc")
     return split_pieces(content, only_long=True).select("hash", "seq", "pos")
@@ -22,6 +33,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).where("verbatim > 0").select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demanding(reading_level(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id")
 
@@ -32,8 +51,40 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_found, p8_ids, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p6_found, p6_ranking, p7_found, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)}
+
+
+_LISTS = """
+with best as (
+  select query_id, list_id, filepath, max(backend_score) as score from ranked
+  where backend_score is not null and not isnan(backend_score) and filepath is not null group by all),
+placed as (
+  select *, row_number() over (partition by query_id, list_id order by score desc, filepath) as r,
+         count(*) over (partition by query_id, list_id) as size from best),
+lists as (select query_id, count(distinct list_id) as n_lists from best group by query_id),
+items as (
+  select query_id, filepath, list_sort(list((size - r + 1) / size)) as v, count(*) as present, max(r) as worst
+  from placed group by all)
+"""
+P6_FOUND = _LISTS + """
+select query_id, filepath from items join lists using (query_id) where n_lists >= 2 and present = n_lists and worst <= 3
+"""
+P6_RANKING = _LISTS + """
+, whole as (
+  select query_id, filepath, n_lists, present, list_concat(list_transform(range(n_lists - present), lambda x: 0.0::double), v) as v
+  from items join lists using (query_id))
+select query_id, filepath, n_lists, present, round(v[1], 6) as weakest,
+       row_number() over (partition by query_id order by v desc, filepath) as position
+from whole
+"""
 
+P9_FOUND = r"""
+with d as (select doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) as w from documents),
+i as (select item_id, list_transform(regexp_extract_all(passage, '[\p{L}\p{N}]+'), lambda x: lower(x)) as w from eval_items),
+dw as (select doc_id, array_to_string(w[s : s + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as s from d where len(w) >= 13)),
+iw as (select distinct item_id, array_to_string(w[s : s + 12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as s from i where len(w) >= 13))
+select distinct doc_id, item_id from dw join iw using (g)
+"""
 
 P10_FOUND = r"""
 with m as (
@@ -46,4 +97,4 @@ select doc_id from m where words >= 60 and words >= 20 * ends and letters >= 6 *
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p10_found": P10_FOUND}
+    return {"p6_found": P6_FOUND, "p6_ranking": P6_RANKING, "p9_found": P9_FOUND, "p10_found": P10_FOUND}
