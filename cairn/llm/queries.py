@@ -10,11 +10,20 @@ from pyspark.sql import functions as F
 from cairn.llm.bpe import encode_corpus
 from cairn.llm.leaks import find_leaks
 from cairn.llm.leximin import leximin_ranking, leximin_vectors, strong_everywhere
+from cairn.llm.markup import clean_markup
 from cairn.llm.reading import calibrated, demanding, reading_level
 from cairn.llm.split import split_pieces
 from cairn.tables import table
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_clean(spark, sf_dir).select("hash", F.explode("kinds").alias("kind"))
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_markup(table(spark, sf_dir, "content"), keep=["hash"])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strong_everywhere(leximin_vectors(table(spark, sf_dir, "ranked"))).select("query_id", "filepath")
 
@@ -51,7 +60,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_ranking, p7_found, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p5_found, p5_clean, p6_found, p6_ranking, p7_found, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)}
 
 
 _LISTS = """
