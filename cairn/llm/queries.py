@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.bpe import encode_corpus
+from cairn.llm.distinctive import document_scores, dominant_terms, rarity_weighted
 from cairn.llm.leaks import find_leaks
 from cairn.llm.leximin import leximin_ranking, leximin_vectors, strong_everywhere
 from cairn.llm.markup import clean_markup
@@ -16,6 +17,15 @@ from cairn.llm.split import split_pieces
 from cairn.tables import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dominant_terms(document_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content")), "doc_id", rarity_weighted(), 1.37)
+
+
+def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = document_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content"))
+    return scores.select("doc_id", "term", "n", "d", F.round("expected", 6).alias("expected"), F.round("residual", 4).alias("residual"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_clean(spark, sf_dir).select("hash", F.explode("kinds").alias("kind"))
 
@@ -60,9 +70,30 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_clean, p6_found, p6_ranking, p7_found, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p3_found, p3_scores, p5_found, p5_clean, p6_found, p6_ranking, p7_found, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)}
 
 
+_TERMS = r"""
+with records as (select doc_id, concat_ws(chr(10), title, doc) as t from documents join content using (hash) where title is not null),
+words as (select doc_id, lower(unnest(regexp_extract_all(t, '[\p{L}\p{N}]+'))) as term from records),
+counts as (select doc_id, term, count(*) as n from words group by all),
+lens as (select doc_id, sum(n) as len from counts group by all),
+terms as (select term, count(*) as d, sum(n) as c from counts group by all),
+al as (select (select count(*) from records) as n_all, (select sum(n) from counts) as total)
+"""
+P3_FOUND = _TERMS + """
+, scored as (select doc_id, term, n * ln(n_all / d) as s from counts join terms using (term), al),
+two as (select *, row_number() over (partition by doc_id order by s desc, term) as r, lead(s) over (partition by doc_id order by s desc, term) as s2 from scored)
+select doc_id, term from two where r = 1 and s > 0 and s2 is not null and s >= 1.37 * s2
+"""
+P3_SCORES = _TERMS + """
+, e as (select doc_id, term, n, d, c, len, total, len * c / total::double as expected from counts join terms using (term) join lens using (doc_id), al)
+select doc_id, term, n, d, round(expected, 6) as expected,
+       round(case when (1 - len / total::double) * (1 - c / total::double) > 0
+             then (n - expected) / sqrt(expected) / sqrt((1 - len / total::double) * (1 - c / total::double)) end, 4) as residual
+from e
+"""
+
 _LISTS = """
 with best as (
   select query_id, list_id, filepath, max(backend_score) as score from ranked
@@ -106,4 +137,4 @@ select doc_id from m where words >= 60 and words >= 20 * ends and letters >= 6 *
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6_FOUND, "p6_ranking": P6_RANKING, "p9_found": P9_FOUND, "p10_found": P10_FOUND}
+    return {"p3_found": P3_FOUND, "p3_scores": P3_SCORES, "p6_found": P6_FOUND, "p6_ranking": P6_RANKING, "p9_found": P9_FOUND, "p10_found": P10_FOUND}
