@@ -12,6 +12,7 @@ from cairn.llm.distinctive import document_scores, dominant_terms, rarity_weight
 from cairn.llm.leaks import find_leaks
 from cairn.llm.leximin import leximin_ranking, leximin_vectors, strong_everywhere
 from cairn.llm.markup import clean_markup
+from cairn.llm.neardup import components, document_pairs, near_duplicates
 from cairn.llm.reading import calibrated, demanding, reading_level
 from cairn.llm.split import split_pieces
 from cairn.tables import table
@@ -26,6 +27,16 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "term", "n", "d", F.round("expected", 6).alias("expected"), F.round("residual", 4).alias("residual"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = near_duplicates(table(spark, sf_dir, "content"), "hash", "doc", shingle=3, threshold=0.7, least_words=50)
+    return document_pairs(table(spark, sf_dir, "documents"), members, links)
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, links = near_duplicates(table(spark, sf_dir, "content"), "hash", "doc", shingle=3, threshold=0.7, least_words=50)
+    return members.join(components(members, links), "cls").select("hash", "cls", "component")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_clean(spark, sf_dir).select("hash", F.explode("kinds").alias("kind"))
 
@@ -70,7 +81,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_scores, p5_found, p5_clean, p6_found, p6_ranking, p7_found, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p3_found, p3_scores, p4_found, p4_groups, p5_found, p5_clean, p6_found, p6_ranking, p7_found, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)}
 
 
 _TERMS = r"""
@@ -94,6 +105,17 @@ select doc_id, term, n, d, round(expected, 6) as expected,
 from e
 """
 
+P4_FOUND = r"""
+with w as (select hash, list_transform(regexp_extract_all(doc, '[\p{L}\p{N}]+'), lambda x: lower(x)) as w from content),
+s as (select distinct hash, array_to_string(w[i : i + 2], ' ') as g from (select hash, w, unnest(range(1, len(w) - 1)) as i from w where len(w) >= 50)),
+sizes as (select hash, count(*) as n from s group by hash),
+meet as (select x.hash as a, y.hash as b, count(*) as m from s x join s y on x.g = y.g and x.hash < y.hash group by all),
+links as (select a, b from meet join sizes p on p.hash = a join sizes q on q.hash = b where m >= 0.7 * (p.n + q.n - m)
+          union all select hash, hash from sizes)
+select distinct least(x.doc_id, y.doc_id) as doc_a, greatest(x.doc_id, y.doc_id) as doc_b
+from links join documents x on x.hash = a join documents y on y.hash = b where x.doc_id <> y.doc_id
+"""
+
 _LISTS = """
 with best as (
   select query_id, list_id, filepath, max(backend_score) as score from ranked
@@ -137,4 +159,4 @@ select doc_id from m where words >= 60 and words >= 20 * ends and letters >= 6 *
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p3_scores": P3_SCORES, "p6_found": P6_FOUND, "p6_ranking": P6_RANKING, "p9_found": P9_FOUND, "p10_found": P10_FOUND}
+    return {"p3_found": P3_FOUND, "p3_scores": P3_SCORES, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p6_ranking": P6_RANKING, "p9_found": P9_FOUND, "p10_found": P10_FOUND}
