@@ -15,9 +15,18 @@ from cairn.llm.markup import clean_markup
 from cairn.llm.neardup import components, document_pairs, near_duplicates
 from cairn.llm.reading import calibrated, demanding, reading_level
 from cairn.llm.split import split_pieces
+from cairn.llm.vptree import nearest_vectors, similar_pairs
 from cairn.tables import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(nearest_vectors(table(spark, sf_dir, "content_vectors"), k=5, least_cos=0.9))
+
+
+def p1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "content_vectors"), k=5)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dominant_terms(document_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content")), "doc_id", rarity_weighted(), 1.37)
 
@@ -81,7 +90,7 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_scores, p4_found, p4_groups, p5_found, p5_clean, p6_found, p6_ranking, p7_found, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_scores, p4_found, p4_groups, p5_found, p5_clean, p6_found, p6_ranking, p7_found, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)}
 
 
 _TERMS = r"""
@@ -105,6 +114,14 @@ select doc_id, term, n, d, round(expected, 6) as expected,
 from e
 """
 
+P1_FOUND = r"""
+with n as (select vid, list_transform(embedding, lambda x: coalesce(x, 'nan'::float)) as e from content_vectors where vid is not null and len(embedding) = 64),
+v as (select vid, min(e) as e from n where not isnan(list_sum(e)) and list_dot_product(e, e) > 0 group by vid),
+p as (select x.vid as a, y.vid as b, list_cosine_similarity(x.e::double[], y.e::double[]) as c from v x join v y on x.vid <> y.vid),
+r as (select *, row_number() over (partition by a order by c desc, b) as r from p)
+select distinct least(a, b) as vid_a, greatest(a, b) as vid_b from r where r <= 5 and c >= 0.9
+"""
+
 P4_FOUND = r"""
 with w as (select hash, list_transform(regexp_extract_all(doc, '[\p{L}\p{N}]+'), lambda x: lower(x)) as w from content),
 s as (select distinct hash, array_to_string(w[i : i + 2], ' ') as g from (select hash, w, unnest(range(1, len(w) - 1)) as i from w where len(w) >= 50)),
@@ -159,4 +176,4 @@ select doc_id from m where words >= 60 and words >= 20 * ends and letters >= 6 *
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p3_scores": P3_SCORES, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p6_ranking": P6_RANKING, "p9_found": P9_FOUND, "p10_found": P10_FOUND}
+    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_scores": P3_SCORES, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p6_ranking": P6_RANKING, "p9_found": P9_FOUND, "p10_found": P10_FOUND}
