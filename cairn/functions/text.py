@@ -19,3 +19,13 @@ def raw_words(text: Column) -> Column:
 def is_blank(text: Column) -> Column:
     """True for null, empty and white-space-only text."""
     return ~F.coalesce(F.regexp_like(text, F.lit(VISIBLE)), F.lit(False))
+
+
+def tokens(text: Column, max_bytes: int = 40) -> Column:
+    """Index terms of ``text``: its words, lower-cased, those of ``max_bytes`` bytes or more left out. Null gives an empty array.
+
+    The text is lower-cased as a whole; the one letter whose lower case would split a word is folded beforehand.
+    """
+    folded = F.lower(F.translate(text, "İ", "i"))
+    words = F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
+    return F.coalesce(F.filter(words, lambda w: F.octet_length(w) < max_bytes), F.array().cast("array<string>"))
