@@ -77,7 +77,7 @@ def duration(seconds: Column) -> Column:
 
 def byte_size(n: Column) -> Column:
     """``17 B``, ``1.5 KB``, ``2.0 MB``, ``3.1 GB``."""
-    scaled = lambda unit, name: F.concat(F.format_number(n / F.lit(float(unit)), "0.0"), F.lit(" " + name))
+    scaled = lambda unit, name: F.format_string("%.1f " + name, n / F.lit(float(unit)))
     return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, scaled(1 << 10, "KB")).when(n < 1 << 30, scaled(1 << 20, "MB")).otherwise(scaled(1 << 30, "GB"))
 
 

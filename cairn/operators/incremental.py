@@ -41,7 +41,7 @@ def complete_hashes(vectors: DataFrame, fingerprint: str | None) -> DataFrame:
     Rows written twice count once. Rows with null hash, seq, total_chunks or vid don't count; a null fingerprint completes
     nothing. A hash's rows are reduced to distinct seqs before the exchange, so a hot hash is no hot task.
     """
-    kept = vectors.where((F.col("embed_fingerprint") == F.lit(fingerprint)) & F.col("vid").isNotNull() & (F.col("seq") >= 0))
+    kept = vectors.where(F.col("hash").isNotNull() & (F.col("embed_fingerprint") == F.lit(fingerprint)) & F.col("vid").isNotNull() & (F.col("seq") >= 0))
     seqs = kept.groupBy("hash", "seq").agg(F.max("total_chunks").alias("total"))
     per_hash = seqs.groupBy("hash").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("n"), F.max("seq").alias("top"), F.count(F.when(F.col("seq") >= F.col("total"), True)).alias("over"))
     # every seq is distinct and not negative, so n - over of them lie below the total

@@ -1,7 +1,7 @@
 """Exact cosine search of a batch of query vectors over all stored vectors, and document-to-document similarity.
 
-Each task multiplies its vectors with the query matrix in blocks, keeps the best groups (vectors or documents) of every query,
-and only those are exchanged. Query vectors are sent to all tasks in blocks of at most ``BLOCK`` rows, one scan a block.
+Each task multiplies its vectors with a query matrix, keeps the best groups (vectors or documents) of every query, and only those
+are exchanged. Up to ``BLOCK`` query vectors are broadcast; larger sets meet the vectors block by block in tasks of their own.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from cairn.operators.filters import active
 from cairn.plans.arrow import sliced
 from cairn.schemas import SIMILAR_CHUNKS
 
-BLOCK = 8192
+BLOCK, PART = 8192, 65_536
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,61 +58,85 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _best(vectors: DataFrame, group: str, ids: np.ndarray, matrix: np.ndarray, k: int, key: str, not_own: bool) -> DataFrame:
-    dim = matrix.shape[1]
-    begins = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    shipped = vectors.sparkSession.sparkContext.broadcast((ids[begins], begins, matrix))
-    kind = vectors.schema[group].dataType
+class _Block:
+    """Query vectors grouped by their key; finds each key's best groups among some vectors."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, not_own: bool):
+        order = np.argsort(ids, kind="stable")
+        ids, self.matrix, self.k, self.not_own = ids[order], matrix[order], k, not_own
+        self.starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.empty(0, np.int64)
+        self.keys = ids[self.starts]
+
+    def best(self, group: pa.Array, x: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray]]:
+        """(keys, groups, scores): all groups that may be among the k best of a key after rounding."""
+        kind = group.type
+        groups, codes = np.unique(np.array(group.to_pylist(), dtype=object if pa.types.is_string(kind) else None), return_inverse=True)
+        if not len(groups) or not len(self.keys):
+            return
+        order = np.argsort(codes, kind="stable")
+        firsts = np.searchsorted(codes[order], np.arange(len(groups)))
+        x = x[order]
+        for at in range(0, len(self.starts), 512):
+            some, keys = self.starts[at : at + 512], self.keys[at : at + 512]
+            end = self.starts[at + 512] if at + 512 < len(self.starts) else len(self.matrix)
+            cos = np.maximum.reduceat(self.matrix[some[0] : end] @ x.T, some - some[0], axis=0)  # a key may have several vectors
+            cos = np.maximum.reduceat(cos, firsts, axis=1)  # and a group too
+            if self.not_own:
+                cos[keys[:, None] == groups[None, :]] = -np.inf
+            n = min(self.k + 1, cos.shape[1])
+            bar = np.partition(cos, cos.shape[1] - n, axis=1)[:, cos.shape[1] - n]
+            r, c = np.nonzero((cos >= bar[:, None] - 1e-6) & np.isfinite(cos))
+            yield keys[r], pa.array(groups[c].tolist(), kind), cos[r, c]
+
+
+def _broadcast_search(mine: DataFrame, asked: DataFrame, names: list[str], schema: T.StructType, k: int, dim: int, not_own: bool) -> DataFrame:
+    table = asked.toArrow()  # at most a block
+    block = _Block(table.column(0).to_numpy(), _unit(table.column(1).combine_chunks(), dim), k, not_own) if table.num_rows else _Block(np.empty(0, np.int64), np.empty((0, dim)), k, not_own)
+    shipped = mine.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, starts, q = shipped.value
         for batch in sliced(batches, 2048):
-            groups, codes = np.unique(np.array(batch.column(0).to_pylist(), dtype=object if isinstance(kind, T.StringType) else None), return_inverse=True)
-            if not len(groups):
-                continue
-            order = np.argsort(codes, kind="stable")
-            firsts = np.searchsorted(codes[order], np.arange(len(groups)))
-            x = _unit(batch.column(1), dim)[order]
-            for at in range(0, len(starts), 512):
-                some = starts[at : at + 512]
-                end = starts[at + 512] if at + 512 < len(starts) else len(q)
-                cos = np.maximum.reduceat(q[some[0] : end] @ x.T, some - some[0], axis=0)  # a query may have several vectors
-                cos = np.maximum.reduceat(cos, firsts, axis=1)  # and a group too
-                if not_own:
-                    cos[keys[at : at + 512][:, None] == groups[None, :]] = -np.inf
-                n = min(k + 1, cos.shape[1])
-                # all that may be among the k best after rounding: ties at the border are decided later
-                bar = np.partition(cos, cos.shape[1] - n, axis=1)[:, cos.shape[1] - n] if n else None
-                r, c = np.nonzero((cos >= bar[:, None] - 1e-6) & np.isfinite(cos))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 512][r]), pa.array(groups[c].tolist(), batch.schema.field(0).type), pa.array(cos[r, c])], names=[key, group, "score"])
-
-    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField(group, kind), T.StructField("score", T.DoubleType())])
-    return vectors.select(group, "embedding").mapInArrow(run, schema)
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, group: str = "vid", key: str = "query_id", dim: int = 64, digits: int = 6, not_own: bool = False) -> DataFrame:
+            for keys, groups, scores in shipped.value.best(batch.column(0), _unit(batch.column(1), dim)):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), groups, pa.array(scores)], names=names)
+
+    return mine.mapInArrow(run, schema)
+
+
+def _blocked_search(mine: DataFrame, asked: DataFrame, names: list[str], schema: T.StructType, k: int, dim: int, not_own: bool, blocks: int, parts: int) -> DataFrame:
+    """Every block of queries meets every part of the vectors in a task of its own; nothing goes through the driver."""
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("_b", F.pmod(F.xxhash64(names[0]), F.lit(blocks)).cast("int")).withColumn("_p", each(parts))
+    right = mine.withColumn("_p", F.pmod(F.xxhash64(names[1], "embedding"), F.lit(parts)).cast("int")).withColumn("_b", each(blocks))
+
+    def meet(queries: pa.Table, held: pa.Table) -> pa.Table:
+        found = []
+        if queries.num_rows and held.num_rows:
+            block = _Block(queries.column(0).to_numpy(), _unit(queries.column(1).combine_chunks(), dim), k, not_own)
+            for batch in sliced(held.combine_chunks().to_batches(), 2048):
+                found += [pa.table([pa.array(q), g, pa.array(s)], names=names) for q, g, s in block.best(batch.column(0), _unit(batch.column(1), dim))]
+        kind = held.schema.field(0).type
+        return pa.concat_tables(found) if found else pa.table([pa.array([], pa.int64()), pa.array([], kind), pa.array([], pa.float64())], names=names)
+
+    return left.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInArrow(meet, schema)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, group: str = "vid", key: str = "query_id", dim: int = 64, digits: int = 6, not_own: bool = False, block: int = BLOCK, part: int = PART) -> DataFrame:
     """key, group, score and rank: of each query the ``k`` groups with the highest cosine of any pair of their vectors.
 
     ``vectors`` has group and embedding, ``queries`` has key and embedding, several rows a key if it has several vectors. Scores
-    are rounded to ``digits``, ties go to the smaller group. Unusable vectors take no part; ``not_own`` leaves out the group
-    equal to the key. Empty inputs give no rows.
+    are rounded to ``digits``, ties go to the smaller group. Unusable vectors and null keys or groups take no part; ``not_own``
+    leaves out the group equal to the key. Empty inputs give no rows. Up to ``block`` query vectors are broadcast; more meet the
+    vectors in blocks, each with ``part`` vectors.
     """
-    blocks: list[DataFrame] = []
-    asked = usable(queries, dim=dim).select(F.col(key).cast("bigint").alias(key), "embedding")
+    asked = usable(queries, dim=dim).where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key), "embedding")
+    mine = usable(vectors, dim=dim).where(F.col(group).isNotNull()).select(group, "embedding")
+    names = [key, group, "score"]
+    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField(group, mine.schema[group].dataType), T.StructField("score", T.DoubleType())])
     total = asked.count()
-    mine = usable(vectors, dim=dim).where(F.col(group).isNotNull())
-    parts = max(1, -(-total // BLOCK))
-    for part in range(parts):  # a query's vectors stay in one block
-        table = asked.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).orderBy(key).toArrow() if total else None
-        if table is None or not table.num_rows:
-            continue
-        ids = table.column(0).to_numpy()
-        blocks.append(_best(mine, group, ids, _unit(table.column(1).combine_chunks(), dim), k, key, not_own))
-    if not blocks:
-        return mine.select(F.lit(None).cast("bigint").alias(key), group, F.lit(None).cast("double").alias("score"), F.lit(None).cast("bigint").alias("rank")).limit(0)
-    found = blocks[0]
-    for more in blocks[1:]:
-        found = found.unionByName(more)
+    if total <= block:
+        found = _broadcast_search(mine, asked, names, schema, k, dim, not_own)
+    else:
+        found = _blocked_search(mine, asked, names, schema, k, dim, not_own, -(-total // block), -(-mine.count() // part) or 1)
     best = found.groupBy(key, group).agg(F.round(F.max("score"), digits).alias("score"))
     order = Window.partitionBy(key).orderBy(F.desc("score"), group)
     return best.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
