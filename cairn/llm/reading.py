@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,15 +74,24 @@ def demanding(levels: DataFrame, words: int = 60, per_sentence: int = 20, letter
 
 
 def calibrated(levels: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "reading_level") -> DataFrame:
-    """``levels`` with ``level`` from 1 to 5: the labels' linear regression on score, rounded and kept within 1..5.
+    """``levels`` with ``level`` from 1 to 5: a least-squares fit of the labels on the parts of the score, rounded, within 1..5.
 
-    Raters' labels are averaged a key first; null labels don't count. Without usable labels, or with a constant score, the
-    mean label (else null) is the level. A row with null score has a null level.
+    The parts are the share of unfamiliar words and the logarithms of words a sentence and letters a word. Labels are averaged a
+    key first; null labels don't count. All labelled rows enter as sums of products, of which 14 numbers reach the driver.
+    Without usable labels the level is null, as it is for a row with null score; parts that don't vary count nothing.
     """
+    parts = [F.lit(1.0), F.col("unfamiliar"), F.log("words_per_sentence"), F.log("letters_per_word")]
     mean = labels.where(F.col(label).isNotNull()).groupBy(key).agg(F.avg(label).alias("_y"))
-    fit = levels.where(F.col("score").isNotNull()).join(mean, key).agg(
-        F.regr_slope("_y", "score").alias("_b"), F.regr_intercept("_y", "score").alias("_a"), F.avg("_y").alias("_m")
-    )
-    line = F.coalesce(F.col("_a") + F.col("_b") * F.col("score"), F.col("_m"))
-    level = F.when(F.col("score").isNotNull(), F.least(F.greatest(F.round(line), F.lit(1.0)), F.lit(5.0)).cast("int"))
-    return levels.crossJoin(F.broadcast(fit)).withColumn("level", level).drop("_a", "_b", "_m")  # fit has one row
+    seen = levels.where(F.col("score").isNotNull()).join(mean, key).select(*[p.alias(f"_f{i}") for i, p in enumerate(parts)], F.col("_y").alias("_f4"))
+    pairs = [(i, j) for i in range(4) for j in range(i, 5)]
+    sums = seen.agg(*[F.sum(F.col(f"_f{i}") * F.col(f"_f{j}")).alias(f"s{i}{j}") for i, j in pairs]).first()
+    if sums["s00"] is None:
+        return levels.withColumn("level", F.lit(None).cast("int"))
+    m, y = np.zeros((4, 4)), np.array([sums[f"s{i}4"] for i in range(4)])
+    for i, j in pairs:
+        if j < 4:
+            m[i, j] = m[j, i] = sums[f"s{i}{j}"]
+    weights = np.linalg.lstsq(m, y, rcond=1e-10)[0]
+    fitted = sum((p * float(w) for p, w in zip(parts[1:], weights[1:])), F.lit(float(weights[0])))
+    level = F.when(F.col("score").isNotNull(), F.least(F.greatest(F.round(fitted), F.lit(1.0)), F.lit(5.0)).cast("int"))
+    return levels.withColumn("level", level)
