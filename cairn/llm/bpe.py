@@ -59,7 +59,13 @@ class TrieEncoder:
     """Ids of words by one vocabulary. Not thread-safe; one per worker."""
 
     def __init__(self, ids: dict[bytes, int], merges: list[tuple[int, int, int]]):
-        self.ids, self.longest = ids, max(map(len, ids))
+        self.ids = ids
+        # lengths of the tokens that may end a prefix, by its last three bytes, longest first
+        ending: dict[bytes, set[int]] = {}
+        for t in ids:
+            if len(t) >= 3:
+                ending.setdefault(t[-3:], {1, 2}).add(len(t))
+        self.ending = {end: sorted(lengths, reverse=True) for end, lengths in ending.items()}
         self.rank = {t: -1 for t in ids.values()} | {c: r for r, (_, _, c) in enumerate(merges)}
         self.parts = {c: (a, b) for a, b, c in merges}
         self.joined = {(a, b): r for r, (a, b, _) in enumerate(merges)}
@@ -102,7 +108,7 @@ class TrieEncoder:
 
     def _grow(self, word: bytes, path: list[int], shared: int) -> None:
         """Make ``path[i]`` the node of ``word[:i]``; the first ``shared`` bytes are there already."""
-        children, last, before, ids, longest = self.children, self.last, self.before, self.ids, self.longest
+        children, last, before, ids, ending = self.children, self.last, self.before, self.ids, self.ending
         del path[shared + 1 :]
         node = path[-1]
         for i in range(shared, len(word)):
@@ -110,8 +116,9 @@ class TrieEncoder:
             child = children.get(key)
             if child is None:
                 end = i + 1
-                for begin in range(max(0, end - longest), end):
-                    token = ids.get(word[begin:end])
+                for length in ending.get(word[max(0, end - 3) : end], (2, 1)):
+                    begin = end - length
+                    token = ids.get(word[begin:end]) if begin >= 0 else None
                     if token is not None and (begin == 0 or self.may_follow(last[path[begin]], token)):
                         break
                 child = children[key] = len(last)
