@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.chunking import chunks
 from cairn.functions.scalars import content_hash, embed_fingerprint, filepath
 from cairn.functions.text import is_blank
-from cairn.operators.filters import active, is_active
+from cairn.operators.filters import active, in_collections, is_active
+from cairn.plans.lineage import cut
+from cairn.plans.ranking import numbered
 
 # ---------------------------------------------------------------- content and documents
 
@@ -58,8 +61,6 @@ def upsert_documents(documents: DataFrame, incoming: DataFrame, now: str) -> Dat
 
 def with_dense_ids(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """``df`` with numbers from 1 by ``order``, made by range partitions and their sizes rather than in one task."""
-    from cairn.plans.ranking import numbered
-
     return numbered(df.withColumn("_all", F.lit(0)), ["_all"], [F.asc(c) for c in order], out).drop("_all")
 
 
@@ -121,8 +122,6 @@ def allocate_vids(vectors: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def pending_hashes(documents: DataFrame, vectors: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Hashes of active, not blank documents for which no vector is stored under any fingerprint, each once."""
-    from cairn.operators.filters import in_collections
-
     mine = in_collections(active(documents), names).where(~is_blank(F.col("text")) & F.col("hash").isNotNull())
     return mine.select("hash").distinct().join(vectors.select("hash"), "hash", "left_anti")
 
@@ -148,11 +147,8 @@ def embed_pending(documents: DataFrame, content: DataFrame, vectors: DataFrame,
 
     One table results and is published at once, so a run that dies leaves the state before it.
     """
-    from cairn.functions.chunking import chunks
-    from cairn.plans.lineage import cut
-
     if rebuild:
-        vectors = vectors.join(_in(documents, names).select("hash").distinct(), "hash", "left_anti") if names else vectors.limit(0)
+        vectors = vectors.join(in_collections(active(documents), names).select("hash").distinct(), "hash", "left_anti") if names else vectors.limit(0)
     todo = pending_hashes(documents, vectors, names)
     pieces = chunks(content.join(todo, "hash", "left_semi").select("hash", "doc"), "doc").where(~is_blank(F.col("chunk")))
     made = cut(backend.embed_passages(pieces, "chunk", "embedding"))
@@ -162,12 +158,6 @@ def embed_pending(documents: DataFrame, content: DataFrame, vectors: DataFrame,
     return upsert_vectors(vectors, rows)
 
 
-def _in(documents: DataFrame, names: list[str] | None) -> DataFrame:
-    from cairn.operators.filters import in_collections
-
-    return in_collections(active(documents), names)
-
-
 # ---------------------------------------------------------------- collections, settings, reports
 
 

@@ -8,7 +8,6 @@ step. A run that dies before that step leaves the old version; its work is neith
 from __future__ import annotations
 
 import json
-import os
 import re
 import uuid
 from collections.abc import Callable
@@ -62,8 +61,8 @@ def pending_documents(documents: DataFrame, vectors: DataFrame, fingerprint: str
 class VersionedTarget:
     """A table published version by version: ``<path>/v-<n>-<id>`` holds rows, ``<path>/_published/<n>`` names the folder.
 
-    A version is visible once its marker exists. Markers are made by a rename that refuses an existing name, the one atomic
-    operation of the folder's file system; of two runs that publish the same number one fails and nothing is mixed.
+    A version is visible once its marker exists. Markers are made by a rename that refuses an existing name, as file systems of
+    HDFS's kind have it; of two runs that publish the same number one fails and nothing is mixed.
     Folders without a marker are leftovers of failed runs: never read, removed by :meth:`vacuum`.
     """
 

@@ -44,14 +44,22 @@ def _eval_queries(spark: SparkSession, d: str) -> DataFrame:
 
 _FP = "collection || '/' || path"
 _LIVE = "coalesce(active, true)"
-#: A fixed other state of the catalog to compare with: what a walk of the same collections might have met.
-_WALKED = "select collection, path, title, case when doc_id % 7 = 0 then sha256('new ' || doc_id) else hash end as hash from documents where doc_id % 11 <> 0"
+#: What a walk of the collections met: the files that searches name, some of which are no documents yet. Files whose raw text is
+#: not stored count as changed.
+_WALKED = f"""
+select split_part(filepath, '/', 1) as collection, regexp_replace(filepath, '^[^/]*/', '') as path,
+       case when hash in (select hash from content) then hash else sha256('changed ' || filepath) end as hash
+from (select distinct filepath from ranked where filepath is not null) r left join (select {_FP} as filepath, hash from documents) d using (filepath)
+"""
 
 
 def _walked(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).where("doc_id % 11 <> 0")
-    changed = F.when(F.col("doc_id") % 7 == 0, F.sha2(F.concat(F.lit("new "), F.col("doc_id").cast("string")), 256)).otherwise(F.col("hash"))
-    return docs.select("collection", "path", "title", changed.alias("hash"), "text")
+    met = table(spark, d, "ranked").where("filepath is not null").select("filepath").distinct()
+    docs = _docs(spark, d).select(S.filepath(F.col("collection"), F.col("path")).alias("filepath"), "title", "hash", "text")
+    stored = table(spark, d, "content").select("hash").distinct().withColumn("_stored", F.lit(True))
+    both = met.join(docs, "filepath", "left").join(stored, "hash", "left")
+    changed = F.when(F.col("_stored"), F.col("hash")).otherwise(F.sha2(F.concat(F.lit("changed "), F.col("filepath")), 256))
+    return both.select(S.collection_of(F.col("filepath")).alias("collection"), S.path_of(F.col("filepath")).alias("path"), "title", changed.alias("hash"), "text")
 
 
 # ---------------------------------------------------------------- incremental
@@ -104,16 +112,17 @@ def change_classification(spark, d):
 
 
 @query(f"""
-with w as ({_WALKED})
-select d.doc_id, d.collection, d.path, case when not coalesce(d.active, true) or d.hash is distinct from w.hash then w.hash else d.hash end as hash,
-       case when not coalesce(d.active, true) or d.hash is distinct from w.hash then '2026-01-01T00:00:00Z' else d.modified_at end as modified_at,
-       case when not coalesce(d.active, true) or d.hash is distinct from w.hash then true else d.active end as active
-from documents d join w on d.collection = w.collection and d.path = w.path
+with w as ({_WALKED}),
+m as (select d.doc_id, d.collection, d.path, d.hash, d.modified_at, d.active, d.created_at, w.hash as h, w.path is not null and (not coalesce(d.active, true) or d.hash is distinct from w.hash) as changed
+      from documents d left join w on d.collection = w.collection and d.path = w.path),
+n as (select w.collection, w.path, w.hash, row_number() over (order by w.collection, w.path) as k from w left join documents d on d.collection = w.collection and d.path = w.path where d.doc_id is null)
+select doc_id, collection, path, case when changed then h else hash end as hash, case when changed then '2026-01-01T00:00:00Z' else modified_at end as modified_at,
+       case when changed then true else active end as active, created_at from m
 union all
-select doc_id, collection, path, hash, modified_at, active from documents where doc_id % 11 = 0
+select k + (select max(doc_id) from documents), collection, path, hash, '2026-01-01T00:00:00Z', true, '2026-01-01T00:00:00Z' from n
 """)
 def upsert_documents(spark, d):
-    return catalog.upsert_documents(_docs(spark, d), _walked(spark, d), "2026-01-01T00:00:00Z").select("doc_id", "collection", "path", "hash", "modified_at", "active")
+    return catalog.upsert_documents(_docs(spark, d), _walked(spark, d), "2026-01-01T00:00:00Z").select("doc_id", "collection", "path", "hash", "modified_at", "active", "created_at")
 
 
 @query(f"""
@@ -279,12 +288,9 @@ def lacking_context(spark, d):
     return context.lacking_context(table(spark, d, "collections"), table(spark, d, "config"))
 
 
-@query(f"""
-select doc_id, coalesce(doc, '') as body from documents left join content using (hash) where {_LIVE} and collection = 'specs'
-""")
+@query(f"select doc_id, coalesce(doc, '') as body from documents left join content using (hash) where {_LIVE}")
 def documents_with_body(spark, d):
-    docs = filters.in_collections(filters.active(_docs(spark, d)), ["specs"])
-    return filters.with_body(docs, table(spark, d, "content")).select("doc_id", "body")
+    return filters.with_body(filters.active(_docs(spark, d)), table(spark, d, "content")).select("doc_id", "body")
 
 
 # ---------------------------------------------------------------- full text
@@ -455,14 +461,15 @@ def rrf_fuse(spark, d):
 
 @query(f"""
 with {_FUSED},
-r as (select query_id, filepath, (position * 37 % 100) / 100.0::double as rr from fused where position <= 20 and position % 4 <> 0),
+r as (select query_id, filepath, (position * 37 % 100) / 100.0::double as rr from fused where position <= 20 and filepath in (select collection || '/' || path from documents)),
 m as (select query_id, filepath, best_rank, n_lists, round(coalesce(0.75 * rr + 0.25 * score, score), 9) as score from fused left join r using (query_id, filepath) where position <= 20),
 z as (select *, row_number() over (partition by query_id order by score desc, filepath) as position from m)
 select query_id, filepath, score, best_rank, n_lists, position from z where position <= 10
 """)
 def rerank_blend(spark, d):
     fused = fusion.fuse(table(spark, d, "ranked"), 20)
-    given = fused.where("position % 4 <> 0").select("query_id", "filepath", (F.col("position") * 37 % 100 / 100.0).alias("rerank_score"))
+    known = _docs(spark, d).select(S.filepath(F.col("collection"), F.col("path")).alias("filepath"))
+    given = fused.join(known, "filepath", "left_semi").select("query_id", "filepath", (F.col("position") * 37 % 100 / 100.0).alias("rerank_score"))
     return fusion.blend(fused, given, 10, digits=9)
 
 
