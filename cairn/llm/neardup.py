@@ -33,6 +33,8 @@ SLACK = 0.2
 #: A leaf leaves its bucket if its share of equal values with the centre is that high, and is met over the centre if that low.
 LINKED, NEAR = 0.6, 0.1
 SMALL, MAX_ROUNDS = 16, 12
+#: Pairs that may be broadcast; rows left in buckets that are settled by pairs at once, whatever their buckets.
+MAX_SENT, FEW = 20_000, 1000
 
 _rng = np.random.default_rng(20_240_607)
 _MULTIPLY = _rng.integers(1, 2**63, size=HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,27 +135,36 @@ def _sets(df: DataFrame, text: str, shingle: int) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with alike, the share of equal signature values."""
+    """``pairs`` (a, b) with alike, the share of equal signature values. Few pairs are sent to the signatures, not the other way."""
+    if pairs.limit(MAX_SENT + 1).count() <= MAX_SENT:
+        pairs = F.broadcast(pairs)
     one = sigs.select(F.col("cls").alias("a"), F.col("sig").alias("_x"))
     two = sigs.select(F.col("cls").alias("b"), F.col("sig").alias("_y"))
     equal = F.aggregate(F.zip_with("_x", "_y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
-    return pairs.join(one, "a").join(two, "b").select("a", "b", (equal / F.lit(HASHES * BINS)).alias("alike"))
+    return one.join(pairs, "a").join(two, "b").select("a", "b", (equal / F.lit(HASHES * BINS)).alias("alike"))
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _within(rows: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of classes that share a band."""
+    other = rows.select("band", F.col("cls").alias("b"))
+    return rows.select("band", F.col("cls").alias("a")).join(other, "band").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+
+
 def candidate_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
     """Pairs a < b of classes worth an exact look; ``sigs`` has one row a class with cls, bands and sig."""
     least = F.lit(threshold - SLACK)
-    priority = lambda c, band: F.xxhash64(c, band)
-    rows = sigs.select(F.explode("bands").alias("band"), "cls")
+    rows = sigs.select(F.explode("bands").alias("band"), "cls").withColumn("p", F.xxhash64("cls", "band"))
     found: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
-        centres = rows.groupBy("band").agg(F.min(F.struct(priority(F.col("cls"), F.col("band")).alias("p"), F.col("cls").alias("c"))).alias("_m"), F.count(F.lit(1)).alias("size"))
-        centres = centres.where(F.col("size") > 1).select("band", F.col("_m.c").alias("centre"), "size")
-        leaves = cut(rows.join(centres, "band").where(F.col("cls") != F.col("centre")))
+        # the sums of a bucket are exchanged without its members; most buckets have one member and go no further
+        full = rows.groupBy("band").agg(F.min("p").alias("least"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+        held = cut(rows.join(full, "band"))
+        centres = held.where(F.col("p") == F.col("least")).select("band", F.col("cls").alias("centre")).distinct()
+        leaves = cut(held.join(centres, "band").where(F.col("cls") != F.col("centre")).select("band", "cls", "p", "centre", "size"))
         edges = cut(_alike(leaves.select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), sigs))
         found.append(edges.where(F.col("alike") >= least).select(*_ordered(F.col("a"), F.col("b"))))
         linked = edges.where(F.col("alike") >= LINKED).select("a", F.col("b").alias("x"), F.col("alike").alias("ax"))
@@ -162,15 +173,14 @@ def candidate_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
         over = linked.join(near, "a").where((F.col("x") != F.col("y")) & (F.abs(F.col("ax") - F.col("ay")) <= 1 - threshold + SLACK))
         found.append(over.select(*_ordered(F.col("x"), F.col("y"))).distinct())
         unlike = edges.where(F.col("alike") < LINKED).select(F.col("a").alias("centre"), F.col("b").alias("cls"))
-        left = leaves.join(unlike, ["centre", "cls"], "left_semi").select("band", "cls", "size")
-        small = left.where(F.col("size") <= SMALL)
-        other = small.select("band", F.col("cls").alias("o"))
-        found.append(small.join(other, "band").where(F.col("cls") < F.col("o")).select(F.col("cls").alias("a"), F.col("o").alias("b")).distinct())
-        rows = cut(left.where(F.col("size") > SMALL).select("band", "cls"))
-        if rows.isEmpty():
+        left = cut(leaves.join(unlike, ["centre", "cls"], "left_semi").select("band", "cls", "p", "size"))
+        few = left.limit(FEW + 1).count() <= FEW
+        found.append(_within(left if few else left.where(F.col("size") <= SMALL)))
+        rows = left.where(F.col("size") > SMALL).select("band", "cls", "p")
+        if few or rows.isEmpty():
             break
     else:  # what no centre was like, exactly
-        found.append(rows.alias("l").join(rows.alias("r"), "band").where(F.col("l.cls") < F.col("r.cls")).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct())
+        found.append(_within(rows))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
