@@ -26,6 +26,6 @@ def tokens(text: Column, max_bytes: int = 40) -> Column:
 
     The text is lower-cased as a whole; the one letter whose lower case would split a word is folded beforehand.
     """
-    folded = F.lower(F.translate(text, "İ", "i"))
+    folded = F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
     words = F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
     return F.coalesce(F.filter(words, lambda w: F.octet_length(w) < max_bytes), F.array().cast("array<string>"))

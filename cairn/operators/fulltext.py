@@ -21,6 +21,7 @@ from cairn.functions.scalars import filepath
 from cairn.functions.text import tokens
 from cairn.operators.filters import active
 from cairn.plans.lineage import cut
+from cairn.plans.spread import spread
 from cairn.schemas import BM25_B, BM25_K1, FIELD_BOOST
 
 #: Distinct query terms that may stand as a list in the plan.
@@ -51,7 +52,7 @@ def _fields(documents: DataFrame, body: str) -> DataFrame:
     """doc_id, field and terms of every active document."""
     texts = [("filepath", filepath(F.col("collection"), F.col("path"))), ("title", F.col("title")), ("body", F.col(body))]
     one = F.array(*[F.struct(F.lit(name).alias("field"), tokens(c).alias("terms")) for name, c in texts])
-    return active(documents).select("doc_id", F.inline(one))
+    return spread(active(documents).select("doc_id", "collection", "path", "title", body)).select("doc_id", F.inline(one))
 
 
 def postings(documents: DataFrame, body: str = "text") -> DataFrame:
@@ -66,59 +67,67 @@ def field_stats(documents: DataFrame, body: str = "text") -> DataFrame:
 
 
 class _Hits:
-    """Where the terms of a batch of queries occur."""
+    """Where the terms of a batch of queries occur: ``each`` (with positions only if some clause is a phrase), ``counts``, ``idf``."""
 
-    def __init__(self, documents: DataFrame, clauses: DataFrame, body: str):
+    def __init__(self, documents: DataFrame, clauses: DataFrame, body: str, phrases: bool):
         terms = clauses.select("term").distinct()
         listed = [r[0] for r in terms.limit(MAX_TERMS + 1).collect()]
         found = _fields(documents, body)
+        n = F.size("terms").cast("bigint").alias("len")
         placed = F.transform("terms", lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
-        if len(listed) <= MAX_TERMS:
-            asked = F.filter(placed, lambda x: x.term.isin(listed)) if listed else F.slice(placed, 1, 0)
-            self.table = cut(found.select("doc_id", "field", F.size("terms").cast("bigint").alias("len"), asked.alias("hits")))
-            self.stats_from = self.table
-            self.each = self.table.select("doc_id", "field", "len", F.inline("hits"))
+        if len(listed) > MAX_TERMS:
+            table = cut(found.select("doc_id", "field", n))
+            self.each = cut(found.select("doc_id", "field", n, F.inline(placed)).join(terms, "term", "left_semi"))
+        elif phrases:
+            table = cut(found.select("doc_id", "field", n, F.filter(placed, lambda x: x.term.isin(listed)).alias("hits")))
+            self.each = table.select("doc_id", "field", "len", F.inline("hits"))
         else:
-            self.stats_from = cut(found.select("doc_id", "field", F.size("terms").cast("bigint").alias("len")))
-            flat = found.select("doc_id", "field", F.size("terms").cast("bigint").alias("len"), F.inline(placed))
-            self.each = cut(flat.join(terms, "term", "left_semi").select("doc_id", "field", "len", "pos", "term"))
-        self.stats = F.broadcast(self.stats_from.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")))  # three rows
-        self.counts = self.each.groupBy("field", "term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+            asked = F.filter("terms", lambda t: t.isin(listed)) if listed else F.slice("terms", 1, 0)
+            table = cut(found.select("doc_id", "field", n, asked.alias("hits")))
+            self.each = table.select("doc_id", "field", "len", F.explode("hits").alias("term"))
+        self.stats = F.broadcast(table.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")))  # three rows
+        self.counts = cut(self.each.groupBy("field", "term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf")))
         df = self.counts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
         self.idf = df.join(self.stats, "field").select("field", "term", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def _boost() -> Column:
+def _weight(field: Column, idf: Column) -> Column:
+    """What a clause adds in a field, from tf, len and avg_len."""
     pairs = [x for name, b in FIELD_BOOST.items() for x in (F.lit(name), F.lit(b))]
-    return F.element_at(F.create_map(*pairs), F.col("field"))
+    norm = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len")))
+    return F.element_at(F.create_map(*pairs), field) * idf * norm
 
 
-def clause_matches(hits: _Hits, clauses: DataFrame, key: str, broadcast: bool) -> DataFrame:
-    """key, clause, negated, doc_id, field, len, tf and idf of every clause in every field that holds it."""
-    small = F.broadcast if broadcast else (lambda d: d)
-    single, phrase = clauses.where("size = 1"), clauses.where("size > 1")
-    word = hits.counts.join(small(single), "term").join(hits.idf, ["field", "term"])
-    word = word.select(key, "clause", "negated", "doc_id", "field", "len", "tf", "idf")
+def _phrase_scores(hits: _Hits, phrases: DataFrame, key: str) -> DataFrame:
+    """key, negated, doc_id and weight of every phrase in every field that holds it."""
     # a phrase begins where each of its terms stands at its offset
-    starts = hits.each.join(small(phrase), "term").withColumn("start", F.col("pos") - F.col("offset"))
+    starts = hits.each.join(phrases, "term").withColumn("start", F.col("pos") - F.col("offset"))
     whole = starts.groupBy(key, "clause", "negated", "size", "doc_id", "field", "len", "start").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == F.col("size"))
     counted = whole.groupBy(key, "clause", "negated", "doc_id", "field", "len").agg(F.count(F.lit(1)).alias("tf"))
-    weights = phrase.join(hits.idf, "term").groupBy(key, "clause", "field").agg(F.sum("idf").alias("idf"))
-    return word.unionByName(counted.join(weights, [key, "clause", "field"]).select(*word.columns))
+    idf = phrases.join(hits.idf, "term").groupBy(key, "clause", "field").agg(F.sum("idf").alias("idf"))
+    return counted.join(idf, [key, "clause", "field"]).join(hits.stats, "field").select(key, "negated", "doc_id", _weight(F.col("field"), F.col("idf")).alias("s"))
 
 
 def bm25_scores(documents: DataFrame, queries: DataFrame, key: str = "query_id", text: str = "query", body: str = "text") -> DataFrame:
     """key, doc_id and raw score of every document that holds a clause of the query and none of its negated ones.
 
-    A query without positive clauses finds nothing. Null queries, texts and titles have no terms. Repeated words add up.
+    A query without positive clauses finds nothing. Null queries, texts and titles have no terms. Repeated words add up. What a
+    word adds to a document is found once for all queries that ask for it.
     """
     clauses = cut(parse_queries(queries, key, text))
-    small = clauses.limit(MAX_CLAUSES + 1).count() <= MAX_CLAUSES
-    hits = _Hits(documents, clauses, body)
-    met = clause_matches(hits, clauses, key, small).join(hits.stats, "field")
-    norm = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("avg_len")))
-    scored = met.withColumn("_s", F.when(~F.col("negated"), _boost() * F.col("idf") * norm))
-    return scored.groupBy(key, "doc_id").agg(F.sum("_s").alias("score"), F.bool_or("negated").alias("_no")).where(F.col("score").isNotNull() & ~F.col("_no")).drop("_no")
+    n, phrases, negations = clauses.agg(F.count(F.lit(1)), F.bool_or(F.col("size") > 1), F.bool_or("negated")).first()
+    small = F.broadcast if n <= MAX_CLAUSES else (lambda d: d)
+    hits = _Hits(documents, clauses, body, bool(phrases))
+    words = hits.counts.join(F.broadcast(hits.idf) if n <= MAX_CLAUSES else hits.idf, ["field", "term"]).join(hits.stats, "field")
+    by_term = words.groupBy("term", "doc_id").agg(F.sum(_weight(F.col("field"), F.col("idf"))).alias("s"))
+    single = clauses.where("size = 1").groupBy(key, "term", "negated").agg(F.count(F.lit(1)).alias("_m"))
+    met = by_term.join(small(single), "term").select(key, "negated", "doc_id", (F.col("_m") * F.col("s")).alias("s"))
+    if phrases:
+        met = met.unionByName(_phrase_scores(hits, small(clauses.where("size > 1")), key))
+    if not negations:
+        return met.groupBy(key, "doc_id").agg(F.sum("s").alias("score"))
+    both = met.groupBy(key, "doc_id").agg(F.sum(F.when(~F.col("negated"), F.col("s"))).alias("score"), F.bool_or("negated").alias("_no"))
+    return both.where(F.col("score").isNotNull() & ~F.col("_no")).drop("_no")
 
 
 def squashed(score: Column) -> Column:
