@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cairn.plans.arrow import by_slice
+from cairn.plans.spread import spread
 
 #: The public split pattern of byte_bpe_50k.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -180,4 +181,4 @@ def encode_corpus(df: DataFrame, text: str = "text", out: str = "ids", tokenizer
 
         yield from by_slice(one)(batches)
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return spread(df.select(*kept, text)).mapInArrow(run, schema)

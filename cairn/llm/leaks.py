@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.functions.text import raw_words
 from cairn.plans.arrow import sliced
+from cairn.plans.spread import spread
 
 WINDOW = 13
 #: Words taken for units.
@@ -120,13 +122,11 @@ def template_windows(df: DataFrame, key: str, text: str, own: list[str], size: i
                 columns.append(pa.array(placeholders, pa.list_(pa.bool_())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return spread(df.select(key, text)).mapInArrow(run, schema)
 
 
 def own_words(items: DataFrame, passage: str, most: int = MAX_WORDS) -> list[str]:
     """Words that the passages write in lower case somewhere; of more than ``most`` those in most places."""
-    from cairn.functions.text import raw_words
-
     each = items.select(F.explode(raw_words(F.col(passage))).alias("w")).where((F.col("w") == F.lower("w")) & ~F.col("w").isin(UNITS))
     top = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(most)
     return [r[0] for r in top.collect()]

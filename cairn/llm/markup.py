@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cairn.plans.arrow import by_slice
+from cairn.plans.spread import spread
 
 _FRONT = re.compile(r"---[ \t]*\n(?:[^\n]*\n)*?---[ \t]*(?:\n|\Z)")
 _FENCE = r"(?P<fence>(?<![^\n])```[^\n]*\n(?:.*?\n)??```[^\n]*)"
@@ -372,4 +373,4 @@ def clean_markup(df: DataFrame, text: str = "doc", keep: list[str] | None = None
 
         yield from by_slice(one)(batches)
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return spread(df.select(*kept, text)).mapInArrow(run, schema)

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from cairn.llm.leaks import words_of
 from cairn.plans.arrow import sliced
 from cairn.plans.lineage import cut
+from cairn.plans.spread import spread
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, BINS, ROWS = 12, 16, 4
@@ -117,7 +118,7 @@ def signatures(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, least
                 [batch.column(0).take(pa.array(at, pa.int64())), pa.array(np.array(cls, dtype=np.uint64).view(np.int64)), lists(bands, HASHES * BINS // ROWS, np.int64), lists(sigs, HASHES * BINS, np.int8)], names=schema.names
             )
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return spread(df.select(key, text)).mapInArrow(run, schema)
 
 
 def _sets(df: DataFrame, text: str, shingle: int) -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.plans.spread import spread
+
 LETTERS = r"\p{L}+"
 #: A maximal run of end marks before white space or the end of the text.
 SENTENCE_END = r"(?<![.!?])[.!?]++(?=[ \t\r\n]|\z)"
@@ -27,7 +29,7 @@ def familiar_words(df: DataFrame, text: str = "text", size: int = FAMILIAR, shar
     The counts are over all documents.
     """
     least = share * df.count()
-    each = df.select(F.explode(F.array_distinct(_words(F.lower(text)))).alias("word"))
+    each = spread(df.select(text)).select(F.explode(F.array_distinct(_words(F.lower(text)))).alias("word"))
     counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= least)
     top = counts.orderBy(F.desc("docs"), "word").limit(size)
     return [r[0] for r in top.collect()]
@@ -43,7 +45,7 @@ def reading_level(df: DataFrame, text: str = "text", familiar: list[str] | None
     * repeated rows each give their row, an empty table none; columns of ``df`` with one of the new names are replaced.
     """
     known = familiar if familiar is not None else familiar_words(df, text)
-    words = df.withColumn("_words", F.coalesce(_words(F.col(text)), F.array().cast("array<string>")))
+    words = spread(df).withColumn("_words", F.coalesce(_words(F.col(text)), F.array().cast("array<string>")))
     n = F.size("_words").cast("bigint")
     hits = F.size(F.filter("_words", lambda w: F.lower(w).isin(known))) if known else F.lit(0)
     counted = words.withColumns({

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.plans.spread import spread
+
 LIMIT, OVERLAP = 3600, 540
 _CONT = r"[\x80-\xBF]"
 #: A closed block between two lines starting with three backticks, or a line.
@@ -53,7 +55,7 @@ def split_pieces(df: DataFrame, text: str = "doc", limit: int = LIMIT, overlap:
     if limit // 2 + 1 - overlap - 3 < 1 or overlap < 1:
         raise ValueError("limit/2 must exceed overlap + 3 and overlap must be positive")
     size = F.octet_length(text)
-    source = df.where(size > (limit if only_long else 0)).drop("seq", "pos", "size", "piece", "total_chunks")
+    source = spread(df.where(size > (limit if only_long else 0))).drop("seq", "pos", "size", "piece", "total_chunks")
     raw = _latin(F.col(text))
     # headings inside closed fences are masked by a character of the same width
     masked = F.when(
