@@ -3,8 +3,10 @@
 A text may mix HTML, Markdown, wiki markup and LaTeX. Code is set aside first and comes back unchanged. Of an HTML page the main
 part is chosen by composite text density: for every node the characters per tag, adjusted for the characters and tags inside
 links; the density of a page's body and of the nodes on the way to the node with the largest sum of its children's densities
-gives a threshold, and the subtree of largest sum is taken within every node above it. Headings come out as ``#`` lines, list
-items as ``- `` lines, code as fenced blocks or between backticks, formulas as written, table rows as cells joined by `` | ``.
+gives a threshold, and within every node that reaches it the subtree of largest sum is taken and the text that stands directly in
+the node, wherever in the page. Code is always kept, and so are headings, lists and tables next to something kept. Headings come
+out as ``#`` lines, list items as ``- `` lines, code as fenced blocks or between backticks, formulas as written, table rows as
+cells joined by `` | ``.
 """
 
 from __future__ import annotations
@@ -12,8 +14,11 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -85,6 +90,8 @@ def kinds_of(text: str, pieces: list[tuple[str, str]]) -> list[str]:
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _SILENT = set("script style head template noscript".split())
 _BLOCK = set("html body p div section article main header footer nav aside blockquote table ul ol dl figure form address pre h1 h2 h3 h4 h5 h6".split())
+_HEADING = set("h1 h2 h3 h4 h5 h6".split())
+_APART = _BLOCK | set("li tr td th dt dd thead tbody tfoot caption hr".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
@@ -176,69 +183,143 @@ def _measure(tree: _Tree, top: _Node) -> None:
             node.parent.total += node.density
 
 
-def _main_parts(tree: _Tree) -> list[_Node]:
-    """Subtrees with the main text, in document order and apart from each other."""
+def _lines(items: list[tuple[int, int, _Node | str]], apart: set[int]) -> Iterator[tuple[int, int]]:
+    """Spans between a node's block children that hold text of the node itself, and not more text inside links than outside."""
+    begin, end, own, chars, linked = -1, -1, 0, 0, 0
+    for b, e, x in items:
+        if id(x) in apart:
+            if own and 2 * linked <= chars:
+                yield begin, end
+            begin, own, chars, linked = -1, 0, 0, 0
+            continue
+        n = len("".join(x.split())) if isinstance(x, str) else 0
+        begin, end, own = (b if begin < 0 else begin), e, own + n
+        chars, linked = (chars + n, linked) if isinstance(x, str) else (chars + x.chars, linked + x.link_chars)
+    if own and 2 * linked <= chars:
+        yield begin, end
+
+
+def _main_parts(tree: _Tree) -> list[tuple[int, int]]:
+    """Spans of events with the main text, in document order and apart from each other.
+
+    What stands outside the body is held against the body's threshold; text directly around it counts as the body's.
+    """
     body = next((n for n in tree.nodes if n.tag == "body"), tree.root)
     _measure(tree, body)
     inside = [n for n in tree.nodes if body.begin <= n.begin < body.end] if body is not tree.root else tree.nodes
     best = max(inside, key=lambda n: n.total)
-    threshold, node = best.density, best
+    threshold, node, above = best.density, best, set()
     while node is not None and node is not body.parent:
         threshold = min(threshold, node.density)
         node = node.parent
-    # the best node at or below each: children come after parents
-    top = {id(n): n for n in inside}
-    for n in reversed(inside):
+    while node is not None:
+        above.add(id(node))
+        node = node.parent
+    # the best node at or below each, and nodes that are or hold a block: children come after parents
+    top, apart, hidden = {id(n): n for n in tree.nodes}, set(), set()
+    for n in reversed(tree.nodes):
         up = n.parent
-        if up is not None and id(up) in top and top[id(n)].total > top[id(up)].total:
-            top[id(up)] = top[id(n)]
-    parts, covered = [], -1
-    for n in inside:
-        if n.begin >= covered and n.density >= threshold and n.chars:
+        if n.tag in _APART or n.tag in _SILENT:
+            apart.add(id(n))
+        if up is not None:
+            if top[id(n)].total > top[id(up)].total:
+                top[id(up)] = top[id(n)]
+            if id(n) in apart:
+                apart.add(id(up))
+    for n in tree.nodes:
+        if n.tag in _SILENT or n.parent is not None and id(n.parent) in hidden and n is not body:
+            hidden.add(id(n))
+    keep, texts, items = bytearray(len(tree.events)), [], defaultdict(list)
+
+    def take(begin: int, end: int) -> None:
+        keep[begin:end] = b"\1" * (end - begin)
+
+    for i, (kind, x) in enumerate(tree.events):
+        if kind == 1:
+            items[id(x.parent)].append((i, x.end, x))
+        elif kind == 0:
+            items[id(x[0])].append((i, i + 1, x[1]))
+            if id(x[0]) not in hidden and x[1].strip():
+                texts.append(i)
+                keep[i] = "\ue000" in x[1]
+    for n in tree.nodes:
+        if id(n) in hidden:
+            continue
+        if id(n) in above:
+            for span in _lines(items[id(n)], apart):
+                take(*span)
+        elif n.density >= threshold and n.chars:
             chosen = top[id(n)] if top[id(n)].total > 0 else n
-            if chosen.begin >= covered:
-                parts.append(chosen)
-                covered = chosen.end
-    return parts or [body]
-
-
-def _render(tree: _Tree, parts: list[_Node]) -> str:
+            take(chosen.begin, chosen.end)
+            for span in _lines(items[id(n)], apart):
+                take(*span)
+    for n in tree.nodes:  # no holes within a line
+        if n is tree.root or id(n) in apart and id(n) not in hidden:
+            for begin, end in _lines(items[id(n)], apart):
+                if 1 in keep[begin:end]:
+                    take(begin, end)
+    kinds = _HEADING | {"ul", "ol", "dl", "table"}
+    beside = [n for n in tree.nodes if n.tag in kinds and id(n) not in hidden and (n.tag in _HEADING or 2 * n.link_chars <= n.chars)]
+    for nodes, after in ((beside, False), (beside[::-1], True)):
+        for n in nodes:
+            at = bisect_left(texts, n.end) if after else bisect_left(texts, n.begin) - 1
+            if 0 <= at < len(texts) and keep[texts[at]]:
+                take(n.begin, n.end)
+    edges = [i for i in range(len(keep) + 1) if (i < len(keep) and keep[i]) != (i > 0 and keep[i - 1])]
+    return list(zip(edges[::2], edges[1::2])) or [(body.begin, body.end)]
+
+
+def _render(tree: _Tree, parts: list[tuple[int, int]]) -> str:
+    """Text of the spans ``parts``; the blocks, lists and tables that they lie in keep their form."""
+    keep = bytearray(len(tree.events))
+    for begin, end in parts:
+        keep[begin:end] = b"\1" * (end - begin)
+    before = [0, *accumulate(keep)]
     out: list[str] = []
-    silent = 0
+    silent, gap = 0, False
     lists: list[_Node] = []
-    for part in parts:
-        for kind, x in tree.events[part.begin : part.end]:
-            if kind == 0:
-                if not silent:
-                    data = x[1]
-                    out.append(re.sub(r"[ \t]*\n[ \t]*", "\n", data) if "\n" in data else data)
-                continue
-            tag, start = x.tag, kind == 1
-            if tag in _SILENT:
+    for i, (kind, x) in enumerate(tree.events):
+        if kind == 0:
+            if not keep[i]:
+                gap = gap or bool(x[1].strip())
+            elif not silent:
+                data = x[1]
+                if gap and out and not out[-1][-1:].isspace():
+                    out.append("\n")
+                gap = False
+                out.append(re.sub(r"[ \t]*\n[ \t]*", "\n", data) if "\n" in data else data)
+            continue
+        tag, start = x.tag, kind == 1
+        if before[x.begin] == before[x.end]:
+            if tag == "li" and start and lists and lists[-1] is x.parent:
+                x.parent.number += 1
+            continue
+        if tag in _SILENT:
+            if keep[i]:
                 silent = max(0, silent + (1 if start else -1))
-            elif tag in _BLOCK:
+        elif tag in _BLOCK:
+            out.append("\n\n")
+            if tag in _HEADING and start:
+                out.append("#" * int(tag[1]) + " ")
+            if tag in ("ul", "ol"):
+                lists.append(x) if start else lists and lists.pop()
+        elif tag == "li":
+            if start:
+                numbered = lists and lists[-1].tag == "ol"
+                if numbered:
+                    lists[-1].number += 1
+                out.append("\n" + "  " * max(0, len(lists) - 1) + (f"{lists[-1].number}. " if numbered else "- "))
+        elif tag in ("br", "tr", "dt", "dd"):
+            if start:
+                out.append("\n")
+        elif tag == "hr":
+            if start:
                 out.append("\n\n")
-                if len(tag) == 2 and tag[0] == "h" and start:
-                    out.append("#" * int(tag[1]) + " ")
-                if tag in ("ul", "ol"):
-                    lists.append(x) if start else lists and lists.pop()
-            elif tag == "li":
-                if start:
-                    numbered = lists and lists[-1].tag == "ol"
-                    if numbered:
-                        lists[-1].number += 1
-                    out.append("\n" + "  " * max(0, len(lists) - 1) + (f"{lists[-1].number}. " if numbered else "- "))
-            elif tag in ("br", "tr", "dt", "dd"):
-                if start:
-                    out.append("\n")
-            elif tag == "hr":
-                if start:
-                    out.append("\n\n")
-            elif tag in ("td", "th"):
-                if start and out and not out[-1].endswith("\n"):
-                    out.append(" | ")
-            elif tag == "img" and start:
-                out.append(x.alt)
+        elif tag in ("td", "th"):
+            if start and out and not out[-1].endswith("\n"):
+                out.append(" | ")
+        elif tag == "img" and start:
+            out.append(x.alt)
     return "".join(out)
 
 
@@ -251,7 +332,7 @@ def _from_html(text: str) -> str:
         tree.feed(re.sub(r"<(?!/?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>)(?!![A-Za-z])", "&lt;", text))
         tree.done()
         page = any(n.tag in ("body", "html") for n in tree.nodes)
-        return _render(tree, _main_parts(tree) if page else [tree.root])
+        return _render(tree, _main_parts(tree) if page else [(0, len(tree.events))])
     return html.unescape(text) if "&" in text else text
 
 

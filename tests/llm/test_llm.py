@@ -274,6 +274,28 @@ def test_density_of_a_link_list():
     assert "plain words" in text and "and more" in text and "link text" not in text
 
 
+def test_text_before_the_densest_part_is_kept():
+    prose = "Earlier words of an article that go on for quite a while without a single tag between them. " * 3
+    items = "".join(f"<li>{w} item of the list that is long enough to carry a density of its own {w}</li>" for w in "abcdefghijklmnopqrstuvwxyz")
+    nav = "<div>" + "<a href=x>link text here</a> " * 20 + "</div>"
+    page = f"""<html><body>{nav}<h1>Title</h1>
+direct {prose}
+<h2>Section</h2><p>first {prose}</p><ol><li>one</li><li>two</li></ol><pre>x = 1</pre>
+<ul>{items}</ul>
+<p>last {prose}</p>direct end {prose}<h2>More</h2><p>final <b>{prose}</b> tail</p></body></html>
+after {prose}"""
+    tree = markup._Tree()
+    tree.feed(page)
+    tree.done()
+    markup._measure(tree, next(n for n in tree.nodes if n.tag == "body"))
+    assert max(tree.nodes, key=lambda n: n.total).tag == "ul"  # the best part is in mid-page
+    text = markup.clean_text(page)[1]
+    marks = ["# Title", "direct Earlier", "## Section", "first Earlier", "1. one", "2. two", "```\nx = 1\n```", "- a item", "- z item", "last Earlier", "direct end", "## More", "final Earlier", "tail", "after Earlier"]
+    at = [text.find(m) for m in marks]
+    assert -1 not in at and at == sorted(at), list(zip(marks, at))
+    assert text.count("words of an article") == 18 and "link text" not in text
+
+
 def test_markup_rows(spark):
     deep, long = "<div>" * 20_000 + "x" + "</div>" * 3, "<p>a</p>\n# b\n" * 20_000
     texts = [None, "", "<p>a</p>", deep, long, "<" * 5000, "`" * 5001, "$" * 5000, "[" * 5000, "**" * 3000, "{{" * 3000, "''" * 3000 + "\n==" * 2000, "\\" * 5000]
