@@ -92,6 +92,7 @@ _SILENT = set("script style head template noscript".split())
 _BLOCK = set("html body p div section article main header footer nav aside blockquote table ul ol dl figure form address pre h1 h2 h3 h4 h5 h6".split())
 _HEADING = set("h1 h2 h3 h4 h5 h6".split())
 _APART = _BLOCK | set("li tr td th dt dd thead tbody tfoot caption hr".split())
+_IN_HEAD = set("base link meta noscript script style template title".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
@@ -106,10 +107,14 @@ class _Node:
 
 
 class _Tree(HTMLParser):
-    """Nodes in document order, and events: a node's start or end, or text with its node."""
+    """Nodes in document order, and events: a node's start or end, or text with its node.
 
-    def __init__(self):
+    With ``open_head`` a head ends before the first text or element that belongs in the body.
+    """
+
+    def __init__(self, open_head: bool = False):
         super().__init__(convert_charrefs=True)
+        self.open_head = open_head
         self.root = self.at = _Node("", None, 0)
         self.nodes, self.events, self.open = [self.root], [], {}
 
@@ -117,6 +122,8 @@ class _Tree(HTMLParser):
         closes = _CLOSES.get(tag)
         if closes and self.at.tag in closes:
             self._close(self.at.tag)
+        if self.open_head and self.at.tag == "head" and tag not in _IN_HEAD:
+            self._close("head")
         node = _Node(tag, self.at, len(self.events))
         self.nodes.append(node)
         self.events.append((1, node))
@@ -144,6 +151,8 @@ class _Tree(HTMLParser):
         self._close(tag)
 
     def handle_data(self, data):
+        if self.open_head and self.at.tag == "head" and data.strip():
+            self._close("head")
         self.events.append((0, (self.at, data)))
 
     def done(self):
@@ -323,12 +332,40 @@ def _render(tree: _Tree, parts: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
+_PAGE = re.compile(r"<(?:html|body)(?:\s[^<>]*)?>", re.I)
+_SILENT_TAG = re.compile(r"<(?P<end>/?)(?P<tag>" + "|".join(sorted(_SILENT)) + r")(?:\s[^<>]*)?(?P<empty>/?)>", re.I)
+
+
+def _unclosed(text: str, page: bool) -> list[int]:
+    """Places of start tags of silent elements without an end tag of their own; a page's head may go without."""
+    opened: dict[str, list[int]] = defaultdict(list)
+    raw = ""
+    last = {t: text.lower().rfind(f"</{t}") for t in ("script", "style")}
+    for m in _SILENT_TAG.finditer(text):
+        tag = m["tag"].lower()
+        if raw and not (m["end"] and tag == raw):
+            continue  # tags in a script or style are none
+        raw = ""
+        if m["end"]:
+            if opened[tag]:
+                opened[tag].pop()
+        elif not (m["empty"] or m[0].endswith("/>")):
+            opened[tag].append(m.start())
+            if last.get(tag, -1) > m.start():
+                raw = tag
+    return sorted(i for tag, at in opened.items() for i in at if not (page and tag == "head"))
+
+
 def _from_html(text: str) -> str:
     if "<" in text:
         text = re.sub(r"<!--.*?-->", "", text, flags=re.S)
     if "<" in text and _TAG.search(text):
         # a `<` that starts no tag is text, whatever an HTML parser makes of it
-        tree = _Tree()
+        page = _PAGE.search(text) is not None
+        unclosed = _unclosed(text, page)
+        if unclosed:
+            text = "&lt;".join(text[a:b] for a, b in zip([0, *(i + 1 for i in unclosed)], [*unclosed, len(text)]))
+        tree = _Tree(open_head=page and "</head" not in text.lower())
         tree.feed(re.sub(r"<(?!/?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>)(?!![A-Za-z])", "&lt;", text))
         tree.done()
         page = any(n.tag in ("body", "html") for n in tree.nodes)

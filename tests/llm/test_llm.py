@@ -296,6 +296,19 @@ after {prose}"""
     assert text.count("words of an article") == 18 and "link text" not in text
 
 
+@pytest.mark.parametrize("tag", ["template", "noscript", "head", "script", "STYLE"])
+def test_silent_elements_without_an_end_are_text(tag):
+    assert markup.clean_text(f"One names the <{tag}> tag.\n\n<b>All</b> that follows stays.")[1] == f"One names the <{tag}> tag.\n\nAll that follows stays."
+    assert markup.clean_text(f"a <{tag}>x</{tag}> b <{tag} id=y> c <{tag}/> <i>d</i>")[1] == f"a  b <{tag} id=y> c  d"
+    assert markup.clean_text(f"a <{tag}>x</{tag} > b")[1] == "a  b"
+
+
+def test_silent_elements_of_a_page():
+    assert markup.clean_text("<html><head><title>T</title><meta x=y><p>text of the page</p> and <b>more</b></html>")[1] == "text of the page\n\n and more"
+    assert markup.clean_text("<html><body>text <template> more</body></html>")[1] == "text <template> more"
+    assert markup.clean_text('<script>f("<template>", "<style>")</script>a <i>b</i>')[1] == "a b"
+
+
 def test_markup_rows(spark):
     deep, long = "<div>" * 20_000 + "x" + "</div>" * 3, "<p>a</p>\n# b\n" * 20_000
     texts = [None, "", "<p>a</p>", deep, long, "<" * 5000, "`" * 5001, "$" * 5000, "[" * 5000, "**" * 3000, "{{" * 3000, "''" * 3000 + "\n==" * 2000, "\\" * 5000]
