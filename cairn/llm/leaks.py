@@ -4,15 +4,17 @@ Words become a template: numbers, units and names turn into typed placeholders,
 lower-cased word alone, so equal words have equal templates: a word with a digit is a number; a word of the list of units is a
 unit; a word that the passages write in lower case somewhere stays; any other word is a name. Windows of the template are
 hashed; corpus windows meet the passages' windows in an equi join on the hash. Slots decide what a meeting means: all words
-equal is a verbatim window; slots replaced one to one is a re-parameterised one.
+equal is a verbatim window; slots replaced one to one is a re-parameterised one. A window of very many slots needs the words around
+it as well.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,11 +35,13 @@ UNITS = (
 #: Most words of the passages that may keep their own place in a template (others count as names), most passage windows for
 #: which the hashes are sent to every task beforehand, and most for which the join itself is a broadcast.
 MAX_WORDS, MAX_AHEAD, MAX_BROADCAST = 500_000, 2_000_000, 200_000
-#: A re-parameterised window may have at most so many slots: others say too little.
-MAX_SLOTS = 6
+#: A re-parameterised window may have at most so many slots: others say too little alone, and are held against the windows that
+#: adjoin them, up to REACH words to each side.
+MAX_SLOTS, REACH = 6, 2 * WINDOW
 
 _WORD = re.compile(r"[^\W_]+")
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_SLOTS = np.array([_NUMBER, _UNIT, _NAME])
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -86,18 +90,66 @@ def _windows(lists: list[list[str]], codes: Codes, size: int) -> tuple[np.ndarra
     return row, begins, h[starts[row] + begins], flat
 
 
+def _tagged(words: list[str], codes: Codes) -> str:
+    """The words joined by spaces, each after a sign for its kind in a template."""
+    sign = {_NUMBER: "#", _UNIT: "@", _NAME: "~"}
+    return " ".join(sign.get(codes[w], "=") + w for w in words)
+
+
+def _agree(held: str | None, at: int, asked: str | None, begin: int, size: int) -> bool:
+    """Whether the window lies in a stretch of adjoining windows with equal templates, slots replaced one to one over all of it, and
+    as many words outside slots as a window with MAX_SLOTS slots has.
+
+    ``held`` and ``asked`` are tagged words around the window, which begins at word ``at`` and ``begin`` of them.
+    """
+    if held is None or asked is None:
+        return False
+    a, b = held.split(" "), asked.split(" ")
+    same = lambda j: 0 <= at + j < len(a) and 0 <= begin + j < len(b) and (a[at + j] == b[begin + j] if b[begin + j][0] == "=" else a[at + j][0] == b[begin + j][0])
+
+    def add(j: int, there: dict[str, str], back: dict[str, str]) -> bool:
+        x, y = a[at + j], b[begin + j]
+        return y[0] == "=" or there.setdefault(x, y) == y and back.setdefault(y, x) == x
+
+    there, back = {}, {}
+    if not all(same(j) and add(j, there, back) for j in range(size)):
+        return False
+    first = 0
+    while True:  # from each beginning as far to the right as slots stay consistent
+        t, u, end = dict(there), dict(back), size
+        while same(end) and add(end, t, u):
+            end += 1
+        if sum(b[begin + j][0] == "=" for j in range(first, end)) >= size - MAX_SLOTS:
+            return True
+        first -= 1
+        if not (same(first) and add(first, there, back)):
+            return False
+
+
+def _judge(size: int) -> Callable:
+    @F.pandas_udf("boolean")
+    def judge(held: pd.Series, at: pd.Series, asked: pd.Series, begin: pd.Series) -> pd.Series:
+        return pd.Series([_agree(h, int(i), a, int(j), size) if h is not None and a is not None else False for h, i, a, j in zip(held, at, asked, begin)], dtype=bool)
+
+    return judge
+
+
 _SCHEMA = "hash bigint, words string, slots array<boolean>"
 
 
 def template_windows(df: DataFrame, key: str, text: str, own: list[str], size: int = WINDOW, only: np.ndarray | None = None, slots: bool = False) -> DataFrame:
     """Windows of ``text``: key, hash of the template, the words joined by spaces and, with ``slots``, which of them are slots.
 
+    Windows of more than MAX_SLOTS slots also have ``around``, the tagged words from up to REACH words before to REACH after, and
+    ``at``, their place in it; others have null and 0.
+
     ``own`` are the words that stay in a template; ``only`` keeps windows with these hashes. Null, empty and shorter texts give
     no rows.
     """
     sc = df.sparkSession.sparkContext
     shipped = sc.broadcast((own, None if only is None else np.unique(only)))
-    fields = [T.StructField("hash", T.LongType()), T.StructField("words", T.StringType())] + ([T.StructField("slots", T.ArrayType(T.BooleanType()))] if slots else [])
+    fields = [T.StructField("hash", T.LongType()), T.StructField("words", T.StringType()), T.StructField("around", T.StringType()), T.StructField("at", T.IntegerType())]
+    fields += ([T.StructField("slots", T.ArrayType(T.BooleanType()))] if slots else [])
     schema = T.StructType([df.schema[key], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +168,12 @@ def template_windows(df: DataFrame, key: str, text: str, own: list[str], size: i
                     some = some[keep[at] == h[some]]
                 row, begin, h = row[some], begin[some], h[some]
             said = [" ".join(lists[r][b : b + size]) for r, b in zip(row.tolist(), begin.tolist())]
-            columns = [batch.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(said, pa.string())]
+            before = np.concatenate(([0], np.cumsum(np.isin(flat, _SLOTS))))
+            first = np.concatenate(([0], np.cumsum([len(x) for x in lists])))[row].astype(np.int64) + begin
+            many = (before[first + size] - before[first] > MAX_SLOTS).tolist()
+            places = [min(b, REACH) if m else 0 for b, m in zip(begin.tolist(), many)]
+            around = [_tagged(lists[r][b - p : b + size + REACH], codes) if m else None for r, b, p, m in zip(row.tolist(), begin.tolist(), places, many)]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(said, pa.string()), pa.array(around, pa.string()), pa.array(places, pa.int32())]
             if slots:
                 placeholders = [[bool(codes[w] in (_NUMBER, _UNIT, _NAME)) for w in lists[r][b : b + size]] for r, b in zip(row.tolist(), begin.tolist())]
                 columns.append(pa.array(placeholders, pa.list_(pa.bool_())))
@@ -135,8 +192,10 @@ def own_words(items: DataFrame, passage: str, most: int = MAX_WORDS) -> list[str
 def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", size: int = WINDOW) -> DataFrame:
     """Documents that hold windows of ``size`` words of a passage: key, item, verbatim and reparameterised (numbers of windows).
 
-    A verbatim window has equal words; a re-parameterised one has equal words outside the slots, at most ``MAX_SLOTS`` slots, and
-    slots whose values replace each other one to one. The number of windows counts each place in the document and passage.
+    A verbatim window has equal words; a re-parameterised one has equal words outside the slots and slots whose values replace each
+    other one to one. One of more than ``MAX_SLOTS`` slots counts if that holds for a stretch of adjoining windows around it, within
+    ``REACH`` words, which has at least ``size - MAX_SLOTS`` words outside slots. The number of windows counts each place in the
+    document and passage.
 
     * null and empty texts or passages, and those of fewer than ``size`` words, leak nothing;
     * repeated rows of a key or item add up; empty tables give no rows; columns of equal names don't clash, since only the four
@@ -144,17 +203,19 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     * every document is read whole. Passages too many to broadcast meet the documents by a shuffled join.
     """
     own = own_words(items, passage)
-    asked = template_windows(items, item, passage, own, size, slots=True).withColumnsRenamed({"words": "asked", "hash": "h"})
+    asked = template_windows(items, item, passage, own, size, slots=True).withColumnsRenamed({"words": "asked", "hash": "h", "around": "_asked", "at": "_begin"})
     n = asked.count()
     only = None
     if n <= MAX_AHEAD:
         only = np.array([r[0] for r in asked.select("h").distinct().collect()], dtype=np.int64).view(np.uint64)
-    held = template_windows(documents, key, text, own, size, only)
+    held = template_windows(documents, key, text, own, size, only).withColumnsRenamed({"around": "_held", "at": "_at"})
     met = held.join(F.broadcast(asked) if n <= MAX_BROADCAST else asked, held["hash"] == asked["h"])
     pairs = F.filter(F.arrays_zip(F.split("words", " ").alias("a"), F.split("asked", " ").alias("b"), F.col("slots").alias("s")), lambda x: x.s | (x.a != x.b))
     named = lambda f: F.array_distinct(F.transform("_slots", f))
     one_to_one = (F.size(named(lambda x: x.a)) == F.size(named(lambda x: F.struct(x.a, x.b)))) & (F.size(named(lambda x: x.b)) == F.size(named(lambda x: F.struct(x.a, x.b))))
-    other = (F.size("_slots") <= MAX_SLOTS) & ~F.exists("_slots", lambda x: ~x.s) & one_to_one
+    few = F.size(F.filter("slots", lambda s: s)) <= MAX_SLOTS
+    other = ~F.exists("_slots", lambda x: ~x.s) & one_to_one & (few | F.col("_agree"))
     equal = F.col("words") == F.col("asked")
-    judged = met.withColumn("_slots", F.when(~equal, pairs)).select(key, item, equal.alias("_v"), F.coalesce(~equal & other, F.lit(False)).alias("_r"))
+    agree = _judge(size)(F.when(~equal, F.col("_held")), "_at", F.when(~equal, F.col("_asked")), "_begin")
+    judged = met.withColumn("_slots", F.when(~equal, pairs)).withColumn("_agree", agree).select(key, item, equal.alias("_v"), F.coalesce(~equal & other, F.lit(False)).alias("_r"))
     return judged.where("_v or _r").groupBy(key, item).agg(F.count_if("_v").alias("verbatim"), F.count_if("_r").alias("reparameterised"))

@@ -223,6 +223,22 @@ def test_leaks(spark):
     assert leaks.find_leaks(d.limit(0), e).count() == 0 and leaks.find_leaks(d, e.limit(0)).count() == 0
 
 
+def test_leaks_of_windows_dense_in_slots(spark):
+    between = "and with for from near by then under over into".split()
+    passage = "at " + " ".join(f"Alba{x} {i} kg Borg{x} {between[2 * i]} {i + 50} cm Cato{x} {between[2 * i + 1]}" for i, x in enumerate("vwxyz"))
+    said = leaks.words_of(passage)
+    assert all(sum(w not in ["at", *between] for w in said[i : i + 13]) > leaks.MAX_SLOTS for i in range(len(said) - 12))
+    changed = passage.replace("Alba", "Dora").replace("Borg", "Emil").replace("Cato", "Fritz").replace("5", "8")
+    w = changed.split(" ")
+    mixed = " ".join("Same" if x.startswith(("Dora", "Emil", "Fritz")) else x for x in w)  # one name for all: not one to one
+    docs = [(1, "so " + changed + " so"), (2, mixed), (3, " ".join(w[:13])), (4, passage), (5, "and so on")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    e = spark.createDataFrame([(1, passage)], "item_id bigint, passage string")
+    got = {r.doc_id: (r.verbatim, r.reparameterised) for r in leaks.find_leaks(d, e).collect()}
+    n = len(w) - 12
+    assert got == {1: (0, n), 4: (n, 0)}, got
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     d, e = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "eval_items"))
     want = sorted(map(tuple, leaks.find_leaks(d, e).collect()))
