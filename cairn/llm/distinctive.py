@@ -60,11 +60,11 @@ def term_scores(records: DataFrame, key: str, texts: list[str], n_records: int |
 def dominant_terms(scores: DataFrame, key: str, by: Column, factor: float) -> DataFrame:
     """key, term: the term of a record whose ``by`` is above 0 and at least ``factor`` times that of each of its other terms.
 
-    Records of one term have none. Terms without a residual take no part: they are the only term or in the only record, which
-    have no case. Two terms a record are kept before the exchange.
+    Records of one term have none. The residual has no say: a term without one counts like any other. Two terms a record are kept
+    before the exchange.
     """
     order = Window.partitionBy(key).orderBy(F.desc("_by"), "term")
-    two = scores.where(F.col("residual").isNotNull()).select(key, "term", by.alias("_by")).withColumn("_r", F.row_number().over(order)).where("_r <= 2")
+    two = scores.select(key, "term", by.alias("_by")).withColumn("_r", F.row_number().over(order)).where("_r <= 2")
     best = two.groupBy(key).agg(F.max(F.when(F.col("_r") == 1, F.col("term"))).alias("term"), F.max(F.when(F.col("_r") == 1, F.col("_by"))).alias("_a"), F.max(F.when(F.col("_r") == 2, F.col("_by"))).alias("_b"))
     return best.where((F.col("_a") > 0) & (F.col("_a") >= F.lit(factor) * F.col("_b"))).select(key, "term")
 

@@ -357,6 +357,14 @@ def test_residuals(spark):
     assert distinctive.term_scores(df.where("k = 2"), "k", ["doc"]).where("residual is not null").count() == 0
 
 
+def test_one_record_that_holds_all_words(spark):
+    df = spark.createDataFrame([(1, "apple", "apple apple pear"), (2, "", None)], "k int, title string, doc string")
+    scores = distinctive.term_scores(df, "k", ["title", "doc"])
+    assert scores.where("residual is null").count() == 2
+    assert [tuple(r) for r in distinctive.dominant_terms(scores, "k", distinctive.rarity_weighted(), 1.37).collect()] == [(1, "apple")]
+    assert distinctive.dominant_terms(distinctive.term_scores(df.where("k = 1"), "k", ["title", "doc"]), "k", distinctive.rarity_weighted(), 1.37).count() == 0
+
+
 # ---------------------------------------------------------------- 4: near duplicates
 
 
