@@ -439,7 +439,7 @@ def test_components_of_a_chain(spark):
 # ---------------------------------------------------------------- 1: similar vectors
 
 
-@pytest.mark.parametrize("factor, least_recall", [(1.0, 1.0), (vptree.FACTOR, 0.98)])
+@pytest.mark.parametrize("factor, least_recall", [(1.0, 1.0), (None, 0.98)])
 def test_nearest_vectors_against_brute_force(spark, factor, least_recall):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 16))
@@ -468,6 +468,44 @@ def test_nearest_vectors_against_brute_force(spark, factor, least_recall):
     assert vptree.similar_pairs(vptree.nearest_vectors(df.limit(0), dim=16)).count() == 0 and vptree.nearest_vectors(df.where("vid = 3"), dim=16).count() == 0
 
 
+def test_shards_never_grow_large(spark, monkeypatch):
+    """Fitted to far too few vectors, shards are divided again until none holds more than four times as many as aimed at."""
+    reps = vptree.usable(spark.read.parquet("/root/testdata/sf0.01/content_vectors.parquet")).withColumnRenamed("vid", "rep")
+    tree = vptree.fit_shards(reps, shard_rows=20, sample=40)
+    sizes = [r.n for r in vptree._dealt(reps, tree, 64).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) <= 80 and sum(sizes) == reps.count() and len(sizes) > 12
+    same = spark.createDataFrame([(i, [1.0] + [0.0] * 63) for i in range(100)], "rep bigint, embedding array<float>")
+    assert len(vptree.fit_shards(same, shard_rows=5, sample=10).near) == 1  # can't be divided
+
+
+@pytest.mark.parametrize("shard_rows", [200, 1000])
+def test_few_shards_are_visited(shard_rows):
+    """Share of the other shards that a vector visits, and recall at the five nearest, with the settings that are shipped."""
+    table = __import__("duckdb").sql("select min(embedding) from '/root/testdata/sf0.1/content_vectors.parquet' where vid is not null and len(embedding) = 64 group by vid").fetchall()
+    x = np.unique(np.array([r[0] for r in table], dtype=np.float64), axis=0)
+    x = vptree._unit(x[~np.isnan(x).any(axis=1) & (x != 0).any(axis=1)])
+    factor = vptree.default_factor(64)
+    tree = vptree.ShardTree(vptree.VPTree(x, shard_rows), 64)
+    home, shards = tree.home(x), int((tree.near < 0).sum())
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    best = np.argsort(-s, axis=1)[:, :5]
+    cos = np.take_along_axis(s, best, 1)
+    own = np.sort(np.where(home[:, None] == home[None, :], s, -2), axis=1)[:, -5]
+    for floor, most in ((-2.0, 0.3), (0.9, 0.1)):
+        row, node = tree.visits(x, vptree._radius(np.maximum(own, floor)), factor, vptree.MOST_VISITS)
+        seen = np.zeros((len(x), len(tree.near)), dtype=bool)
+        seen[row, node] = True
+        share, wanted = (seen.sum() / len(x) - 1) / (shards - 1), cos >= floor
+        recall = (seen[np.arange(len(x))[:, None], home[best]] & wanted).sum() / wanted.sum()
+        print(f"{shards} shards, least cosine {floor}: {share:.3f} visited, recall {recall:.4f}")
+        assert seen[np.arange(len(x)), home].all() and seen.sum(axis=1).max() <= vptree.MOST_VISITS + 1 and share <= most and recall >= (0.95 if floor < 0 else 0.998)
+    row, node = tree.visits(x[:300], np.full(300, 0.6), 1.0, None)  # with factor 1 nothing nearer than the radius is missed
+    seen = np.zeros((300, len(tree.near)), dtype=bool)
+    seen[row, node] = True
+    assert all(seen[i, home[j]] for i in range(300) for j in np.flatnonzero(s[i] > 1 - 0.6**2 / 2 + 1e-6))
+
+
 def test_recall_on_the_stored_vectors(spark):
     path = "/root/testdata/sf0.01/content_vectors.parquet"
     v = vptree.usable(spark.read.parquet(path)).orderBy("vid").collect()
