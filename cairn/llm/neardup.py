@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from cairn.llm.leaks import words_of
 from cairn.plans.arrow import sliced
 from cairn.plans.lineage import cut
+from cairn.plans.skew import salted_join
 from cairn.plans.spread import spread
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -155,53 +157,63 @@ def _within(rows: DataFrame) -> DataFrame:
     return rows.select("band", F.col("cls").alias("a")).join(other, "band").where(F.col("a") < F.col("b")).select("a", "b").distinct()
 
 
-def candidate_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b of classes worth an exact look; ``sigs`` has one row a class with cls, bands and sig."""
-    least = F.lit(threshold - SLACK)
+def _stars(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges a, b, alike of all stars, from centre to leaf, and the pairs a < b of the buckets that are settled by pairs.
+
+    Round by round every bucket gets a centre; leaves unlike it stay for the next round.
+    """
     rows = sigs.select(F.explode("bands").alias("band"), "cls").withColumn("p", F.xxhash64("cls", "band"))
-    found: list[DataFrame] = []
+    stars: list[DataFrame] = []
+    settled: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
         # the sums of a bucket are exchanged without its members; most buckets have one member and go no further
-        full = rows.groupBy("band").agg(F.min("p").alias("least"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-        held = cut(rows.join(full, "band"))
-        centres = held.where(F.col("p") == F.col("least")).select("band", F.col("cls").alias("centre")).distinct()
-        leaves = cut(held.join(centres, "band").where(F.col("cls") != F.col("centre")).select("band", "cls", "p", "centre", "size"))
+        full = rows.groupBy("band").agg(F.min(F.struct("p", "cls")).alias("least"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+        held = rows.join(full.select("band", "size", F.col("least.cls").alias("centre")), "band")
+        leaves = cut(held.where(F.col("cls") != F.col("centre")).select("band", "cls", "p", "centre", "size"))
         edges = cut(_alike(leaves.select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), sigs))
-        found.append(edges.where(F.col("alike") >= least).select(*_ordered(F.col("a"), F.col("b"))))
-        linked = edges.where(F.col("alike") >= LINKED).select("a", F.col("b").alias("x"), F.col("alike").alias("ax"))
-        near = edges.where(F.col("alike") >= NEAR).select("a", F.col("b").alias("y"), F.col("alike").alias("ay"))
-        # |d(a,x) - d(a,y)| is at most d(x,y), with room for the error of both estimates
-        over = linked.join(near, "a").where((F.col("x") != F.col("y")) & (F.abs(F.col("ax") - F.col("ay")) <= 1 - threshold + SLACK))
-        found.append(over.select(*_ordered(F.col("x"), F.col("y"))).distinct())
+        stars.append(edges)
         unlike = edges.where(F.col("alike") < LINKED).select(F.col("a").alias("centre"), F.col("b").alias("cls"))
         left = cut(leaves.join(unlike, ["centre", "cls"], "left_semi").select("band", "cls", "p", "size"))
         few = left.limit(FEW + 1).count() <= FEW
-        found.append(_within(left if few else left.where(F.col("size") <= SMALL)))
+        settled.append(_within(left if few else left.where(F.col("size") <= SMALL)))
         rows = left.where(F.col("size") > SMALL).select("band", "cls", "p")
         if few or rows.isEmpty():
             break
     else:  # what no centre was like, exactly
-        found.append(_within(rows))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return _alike(every.distinct(), sigs).where(F.col("alike") >= least).select("a", "b")
+        settled.append(_within(rows))
+    return reduce(DataFrame.unionByName, stars), reduce(DataFrame.unionByName, settled)
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, threshold: float = THRESHOLD, least_words: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Membership (key, cls) and links (a, b, jaccard) between classes a < b of Jaccard similarity at least ``threshold``.
+def _met_over(near: DataFrame, odd: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of two leaves of a centre, of ``near`` and ``odd`` (a, b, alike, and g), that may be alike. Leaves of equal g aren't paired.
 
-    * texts of fewer than ``least_words`` words (at least ``shingle``), null and empty texts have no class;
-    * texts with equal sets of shingles share a class; copies aren't paired with each other;
-    * a key must have one text; repeated rows give repeated membership and change no link; an empty table gives empty results; very long texts are read
-      whole; columns other than ``key`` and ``text`` are ignored.
+    |d(a,x) - d(a,y)| is at most d(x,y), with room for the error of both estimates; one of them must be linked to the centre, as two
+    unlinked leaves meet in a later round. A centre of very many leaves is dealt to many tasks.
     """
-    least = max(least_words or shingle, shingle)
-    whole = cut(signatures(df, key, text, shingle, least))
-    members = whole.select(key, "cls")
+    left, right = (d.select("a", F.col("b").alias(v), F.col("alike").alias(f"{v}s"), F.col("g").alias(f"{v}g")) for d, v in ((near, "x"), (odd, "y")))
+    met = salted_join(left, right, "a", "x").where((F.greatest("xs", "ys") >= LINKED) & (F.abs(F.col("xs") - F.col("ys")) <= 1 - threshold + SLACK))
+    return met.where(F.col("xg") != F.col("yg")).select(*_ordered(F.col("x"), F.col("y"))).distinct()
+
+
+def candidate_pairs(sigs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a < b of classes worth an exact look; ``sigs`` has one row a class with cls, bands and sig."""
+    least = F.lit(threshold - SLACK)
+    stars, settled = _stars(sigs)
+    near = stars.where(F.col("alike") >= NEAR).withColumn("g", F.col("b"))
+    over = _met_over(near, near.where(F.col("alike") >= LINKED), threshold)
+    star = stars.where(F.col("alike") >= least).select(*_ordered(F.col("a"), F.col("b")))
+    return star.unionByName(_alike(over.unionByName(settled).distinct(), sigs).where(F.col("alike") >= least).select("a", "b")).distinct()
+
+
+def _read(df: DataFrame, key: str, text: str, shingle: int, least_words: int | None) -> tuple[DataFrame, DataFrame]:
+    """Membership (key, cls), and for one text of every class its key, bands and signature."""
+    whole = cut(signatures(df, key, text, shingle, max(least_words or shingle, shingle)))
     kept = whole.dropDuplicates(["cls"])  # any row of a class will do: their sets are equal
-    sigs = cut(kept.select("cls", key, "bands", "sig"))
-    pairs = cut(candidate_pairs(sigs, threshold))
+    return whole.select(key, "cls"), cut(kept.select("cls", key, "bands", "sig"))
+
+
+def _links(pairs: DataFrame, df: DataFrame, sigs: DataFrame, key: str, text: str, shingle: int, threshold: float) -> DataFrame:
+    """a, b, jaccard of those ``pairs`` that reach the threshold exactly."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     texts = df.select(key, text).join(sigs.select("cls", key).join(needed, "cls", "left_semi"), key).dropDuplicates(["cls"])
     sets = cut(_sets(texts, text, shingle))
@@ -209,7 +221,46 @@ def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = SHINGLE,
     two = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("_y"))
     common = F.size(F.array_intersect("_x", "_y"))
     judged = pairs.join(one, "a").join(two, "b").select("a", "b", (common / (F.size("_x") + F.size("_y") - common)).alias("jaccard"))
-    return members, judged.where(F.col("jaccard") >= threshold)
+    return judged.where(F.col("jaccard") >= threshold)
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, threshold: float = THRESHOLD, least_words: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Membership (key, cls) and links (a, b, jaccard) between classes a < b of Jaccard similarity at least ``threshold``.
+
+    All links, which may be as many as the pairs of a family of similar texts: see :func:`near_duplicate_groups` for the families.
+
+    * texts of fewer than ``least_words`` words (at least ``shingle``), null and empty texts have no class;
+    * texts with equal sets of shingles share a class; copies aren't paired with each other;
+    * a key must have one text; repeated rows give repeated membership and change no link; an empty table gives empty results; very long texts are read
+      whole; columns other than ``key`` and ``text`` are ignored.
+    """
+    members, sigs = _read(df, key, text, shingle, least_words)
+    return members, _links(cut(candidate_pairs(sigs, threshold)), df, sigs, key, text, shingle, threshold)
+
+
+def near_duplicate_groups(df: DataFrame, key: str, text: str, shingle: int = SHINGLE, threshold: float = THRESHOLD, least_words: int | None = None) -> DataFrame:
+    """key, cls and component: texts that a chain of links joins have the same component, the smallest cls in it.
+
+    The links are those of :func:`near_duplicates`, but not all are sought. The edges of the stars come first and give components; then
+    leaves of a centre meet only if they lie in different ones. A family whose members are like its centres costs its stars
+    and nothing more, where all its links would be as many as its pairs. Hard rows as there.
+    """
+    members, sigs = _read(df, key, text, shingle, least_words)
+    stars, settled = _stars(sigs)
+    least = F.lit(threshold - SLACK)
+    star = stars.where(F.col("alike") >= least).select(*_ordered(F.col("a"), F.col("b")))
+    pairs = star.unionByName(_alike(settled.distinct(), sigs).where(F.col("alike") >= least).select("a", "b")).distinct()
+    label = components(sigs, _links(cut(pairs), df, sigs, key, text, shingle, threshold))
+    of = lambda c, g: label.select(F.col("cls").alias(c), F.col("component").alias(g))
+    near = cut(stars.where(F.col("alike") >= NEAR).join(of("b", "g"), "b").join(of("a", "_ga"), "a"))
+    # of two leaves in different components one at least is in another than the centre
+    over = _met_over(near, near.where(F.col("g") != F.col("_ga")), threshold)
+    more = cut(_alike(over, sigs).where(F.col("alike") >= least).select("a", "b"))
+    if not more.isEmpty():
+        across = _links(more, df, sigs, key, text, shingle, threshold).join(of("a", "_ga"), "a").join(of("b", "_gb"), "b")
+        joined = components(label.select(F.col("component").alias("cls")), across.where(F.col("_ga") != F.col("_gb")).select(F.col("_ga").alias("a"), F.col("_gb").alias("b")))
+        label = label.join(joined.select(F.col("cls").alias("component"), F.col("component").alias("_to")), "component").select("cls", F.col("_to").alias("component"))
+    return members.join(label, "cls").select(key, "cls", "component")
 
 
 def document_pairs(documents: DataFrame, members: DataFrame, links: DataFrame, key: str = "doc_id", by: str = "hash") -> DataFrame:

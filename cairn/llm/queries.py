@@ -12,7 +12,7 @@ from cairn.llm.distinctive import document_scores, dominant_terms, rarity_weight
 from cairn.llm.leaks import find_leaks
 from cairn.llm.leximin import leximin_ranking, leximin_vectors, strong_everywhere
 from cairn.llm.markup import clean_markup
-from cairn.llm.neardup import components, document_pairs, near_duplicates
+from cairn.llm.neardup import document_pairs, near_duplicate_groups, near_duplicates
 from cairn.llm.reading import calibrated, demanding, reading_level
 from cairn.llm.split import split_pieces
 from cairn.llm.vptree import nearest_vectors, similar_pairs
@@ -42,8 +42,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, links = near_duplicates(table(spark, sf_dir, "content"), "hash", "doc", shingle=3, threshold=0.7, least_words=50)
-    return members.join(components(members, links), "cls").select("hash", "cls", "component")
+    groups = near_duplicate_groups(table(spark, sf_dir, "content"), "hash", "doc", shingle=3, threshold=0.7, least_words=50)
+    named = groups.groupBy("component").agg(F.min("hash").alias("first"), F.count(F.lit(1)).alias("size"))
+    return groups.join(named, "component").select("hash", "first", "size")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,17 +123,25 @@ r as (select *, row_number() over (partition by a order by c desc, b) as r from
 select distinct least(a, b) as vid_a, greatest(a, b) as vid_b from r where r <= 5 and c >= 0.9
 """
 
-P4_FOUND = r"""
-with w as (select hash, list_transform(regexp_extract_all(doc, '[\p{L}\p{N}]+'), lambda x: lower(x)) as w from content),
+_LINKS = r"""
+with recursive w as (select hash, list_transform(regexp_extract_all(doc, '[\p{L}\p{N}]+'), lambda x: lower(x)) as w from content),
 s as (select distinct hash, array_to_string(w[i : i + 2], ' ') as g from (select hash, w, unnest(range(1, len(w) - 1)) as i from w where len(w) >= 50)),
 sizes as (select hash, count(*) as n from s group by hash),
 meet as (select x.hash as a, y.hash as b, count(*) as m from s x join s y on x.g = y.g and x.hash < y.hash group by all),
 links as (select a, b from meet join sizes p on p.hash = a join sizes q on q.hash = b where m >= 0.7 * (p.n + q.n - m)
           union all select hash, hash from sizes)
+"""
+P4_FOUND = _LINKS + """
 select distinct least(x.doc_id, y.doc_id) as doc_a, greatest(x.doc_id, y.doc_id) as doc_b
 from links join documents x on x.hash = a join documents y on y.hash = b where x.doc_id <> y.doc_id
 """
 
+P4_GROUPS = _LINKS + """
+, sides as (select a, b from links union all select b, a from links),
+reached as (select a, b from sides union select r.a, l.b from reached r join sides l on r.b = l.a)
+select a as hash, min(b) as first, count(distinct b) as size from reached group by a
+"""
+
 _LISTS = """
 with best as (
   select query_id, list_id, filepath, max(backend_score) as score from ranked
@@ -176,4 +185,4 @@ select doc_id from m where words >= 60 and words >= 20 * ends and letters >= 6 *
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_scores": P3_SCORES, "p4_found": P4_FOUND, "p6_found": P6_FOUND, "p6_ranking": P6_RANKING, "p9_found": P9_FOUND, "p10_found": P10_FOUND}
+    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_scores": P3_SCORES, "p4_found": P4_FOUND, "p4_groups": P4_GROUPS, "p6_found": P6_FOUND, "p6_ranking": P6_RANKING, "p9_found": P9_FOUND, "p10_found": P10_FOUND}

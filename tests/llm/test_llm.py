@@ -406,9 +406,26 @@ def test_near_duplicates_are_brute_force(spark, monkeypatch, small, rounds):
     assert set(got) <= set(want) and len(set(want) - set(got)) <= 0.002 * len(want) and all(abs(got[p] - want[p]) < 1e-12 for p in got)
     groups = {r.cls: r.component for r in neardup.components(members, links).collect()}
     assert set(groups) == set(names) and all(groups[a] == groups[b] for a, b in got) and all(groups[c] <= c for c in groups)
+    stars = neardup.near_duplicate_groups(df, "k", "doc", shingle=3, threshold=0.7, least_words=50).collect()
+    assert {r.cls: r.component for r in stars} == groups and {r.k for r in stars} == set(sets)
     assert neardup.near_duplicates(df.limit(0), "k", "doc")[1].count() == 0
 
 
+def test_a_family_costs_its_stars(spark, monkeypatch):
+    """Of a family of similar texts the pairs looked at grow with its members, not with its pairs; components are those of all links."""
+    rng, looked, judge = np.random.default_rng(3), [], neardup._links
+    vocab = [f"w{i}" for i in range(5000)]
+    base, texts, m = rng.choice(vocab, 200), [], 300
+    for _ in range(m):
+        t = base.copy()
+        t[rng.choice(200, 3, replace=False)] = rng.choice(vocab, 3)
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, doc string")
+    monkeypatch.setattr(neardup, "_links", lambda pairs, *a: looked.append(pairs.count()) or judge(pairs, *a))
+    assert len({r.component for r in neardup.near_duplicate_groups(df, "k", "doc", 3, 0.7, 50).collect()}) == 1
+    assert sum(looked) <= m * neardup.HASHES * neardup.BINS // neardup.ROWS < m * (m - 1) // 2
+
+
 def test_signature_estimates_jaccard():
     known, errors = neardup._WordHashes(), []
     rng = np.random.default_rng(1)
