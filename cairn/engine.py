@@ -13,10 +13,6 @@ from cairn.operators.context import with_context
 from cairn.operators.hybrid import hybrid_search
 from cairn.sources.store import Store
 
-#: Most documents that :meth:`Engine.multi_get` returns; the total is reported beside them.
-MOST_DOCUMENTS = 200
-
-
 class Engine:
     """Batched retrieval. ``queries`` are (query_id, text) rows; ``collections`` None means the default scope."""
 
@@ -26,6 +22,10 @@ class Engine:
     def _scope(self, names: list[str] | None) -> DataFrame:
         return filters.default_scope(filters.active(self.store.table("documents")), self.store.table("collections"), names)
 
+    def _index(self) -> fulltext.StoredIndex | None:
+        """The stored index; without one, in a store of tables published by hand, texts are read."""
+        return self.store.index if self.store.index.exists() else None
+
     def _finished(self, found: DataFrame) -> DataFrame:
         """Search hits with address, first chunk and context."""
         texts = self.store.table("content").select("hash", F.col("doc").alias("body"))
@@ -39,7 +39,7 @@ class Engine:
 
     def search(self, queries: list[tuple[int, str]], limit: int = 10, collections: list[str] | None = None) -> DataFrame:
         asked = self.store.spark.createDataFrame(queries, "query_id bigint, query string")
-        return self._finished(fulltext.search(self.store.table("documents"), asked, limit, self._scope(collections)))
+        return self._finished(fulltext.search(self.store.table("documents"), asked, limit, self._scope(collections), index=self._index()))
 
     def vsearch(self, queries: list[tuple[int, str]], limit: int = 10, collections: list[str] | None = None) -> DataFrame:
         asked = self.backend.embed_queries(self.store.spark.createDataFrame(queries, "query_id bigint, query string"), "query", "embedding")
@@ -49,7 +49,7 @@ class Engine:
         return self._finished(hits.join(about, "filepath"))
 
     def query(self, queries: list[tuple[int, str]], limit: int = 10, collections: list[str] | None = None, **options) -> DataFrame:
-        found = hybrid_search(queries, self.store.table("documents"), self.store.table("content"), self.store.table("content_vectors"), self.backend, limit, self._scope(collections), **options)
+        found = hybrid_search(queries, self.store.table("documents"), self.store.table("content"), self.store.table("content_vectors"), self.backend, limit, self._scope(collections), index=self._index(), **options)
         return with_context(found, self.store.table("config"), ["query_id", "position"])
 
     def similar(self, spec: str, limit: int = 10) -> DataFrame:
@@ -74,8 +74,9 @@ class Engine:
         whole = filters.with_body(self._one(spec), self.store.table("content"))
         return whole.withColumn("lines", filters.numbered_lines(F.col("body"), first or at["from"] or 1, count or at["count"]))
 
-    def multi_get(self, request: str, collections: list[str] | None = None, max_lines: int | None = None) -> DataFrame:
-        found = filters.capped(filters.multi_get(self.store.table("documents"), request, collections), MOST_DOCUMENTS, ["collection", "path"])
+    def multi_get(self, request: str, collections: list[str] | None = None, max_lines: int | None = None, most: int | None = None) -> DataFrame:
+        """The documents that ``request`` names with their numbered lines, all or the first ``most``, and their total."""
+        found = filters.capped(filters.multi_get(self.store.table("documents"), request, collections), most, ["collection", "path"])
         whole = filters.with_body(found, self.store.table("content"))
         return whole.withColumn("lines", filters.numbered_lines(F.col("body"), 1, max_lines))
 

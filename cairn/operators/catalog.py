@@ -14,6 +14,7 @@ from cairn.functions.text import is_blank
 from cairn.operators.filters import active, in_collections, is_active
 from cairn.plans.lineage import cut
 from cairn.plans.ranking import numbered
+from cairn.schemas import DEFAULT_PATTERN
 
 # ---------------------------------------------------------------- content and documents
 
@@ -39,6 +40,28 @@ def classify(documents: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.withColumn("outcome", outcome).drop("_h", "_a")
 
 
+_PATH = ["collection", "path"]
+
+
+def _settled(incoming: DataFrame) -> DataFrame:
+    """One row of (collection, path) each, with its title, hash and text as ``_n``: of several the one with the largest (hash, title)."""
+    return incoming.groupBy(*_PATH).agg(F.max(F.struct("hash", "title", "text")).alias("_n"))
+
+
+def _taken(columns: list[str], changed: Column | None, now: str) -> list[Column]:
+    """``columns`` of a stored document joined to its ``_n``, with what a change sets where ``changed`` holds (everywhere if None)."""
+    pick = {"title": F.col("_n.title"), "hash": F.col("_n.hash"), "text": F.col("_n.text"), "modified_at": F.lit(now), "active": F.lit(True)}
+    return [F.col(c) if c not in pick else (pick[c] if changed is None else F.when(changed, pick[c]).otherwise(F.col(c))).alias(c) for c in columns]
+
+
+def _added(documents: DataFrame, one: DataFrame, now: str) -> DataFrame:
+    """Rows for what the documents lack, with ids above the largest."""
+    fresh = one.join(documents.select(*_PATH), _PATH, "left_anti").select(*_PATH, F.col("_n.title").alias("title"), F.col("_n.hash").alias("hash"), F.col("_n.text").alias("text"))
+    top = documents.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("_top"))
+    placed = with_dense_ids(fresh, _PATH, "_n").crossJoin(F.broadcast(top))  # one row
+    return placed.select((F.col("_top") + F.col("_n")).alias("doc_id"), *_PATH, "title", "hash", "text", F.lit(now).alias("created_at"), F.lit(now).alias("modified_at"), F.lit(True).alias("active"))
+
+
 def upsert_documents(documents: DataFrame, incoming: DataFrame, now: str) -> DataFrame:
     """The documents after taking in ``incoming`` (collection, path, title, hash, text).
 
@@ -46,17 +69,17 @@ def upsert_documents(documents: DataFrame, incoming: DataFrame, now: str) -> Dat
     modified_at change and it becomes active; else nothing does. New ones get ids above the largest. Of repeated incoming keys
     the row with the largest (hash, title) counts. Columns of ``documents`` beside these are kept for old rows and null for new.
     """
-    keys = ["collection", "path"]
-    one = incoming.groupBy(*keys).agg(F.max(F.struct("hash", "title", "text")).alias("_n"))
-    old = documents.alias("o").join(one.alias("n"), keys, "left")
+    one = _settled(incoming)
     changed = F.col("_n").isNotNull() & (~F.col("hash").eqNullSafe(F.col("_n.hash")) | ~is_active())
-    pick = {"title": F.col("_n.title"), "hash": F.col("_n.hash"), "text": F.col("_n.text"), "modified_at": F.lit(now), "active": F.lit(True)}
-    kept = old.select(*[F.when(changed, pick[c]).otherwise(F.col(c)).alias(c) if c in pick else F.col(c) for c in documents.columns])
-    fresh = one.join(documents.select(*keys), keys, "left_anti").select(*keys, F.col("_n.title").alias("title"), F.col("_n.hash").alias("hash"), F.col("_n.text").alias("text"))
-    top = documents.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("_top"))
-    numbered = with_dense_ids(fresh, keys, "_n").crossJoin(F.broadcast(top))  # one row
-    made = numbered.select((F.col("_top") + F.col("_n")).alias("doc_id"), *keys, "title", "hash", "text", F.lit(now).alias("created_at"), F.lit(now).alias("modified_at"), F.lit(True).alias("active"))
-    return kept.unionByName(made, allowMissingColumns=True)
+    kept = documents.join(one, _PATH, "left").select(*_taken(documents.columns, changed, now))
+    return kept.unionByName(_added(documents, one, now), allowMissingColumns=True)
+
+
+def document_change(documents: DataFrame, incoming: DataFrame, now: str) -> DataFrame:
+    """The rows that :func:`upsert_documents` changes or adds. No stored text is read for them."""
+    one = _settled(incoming)
+    met = documents.drop("title", "text").join(one, _PATH).where(~F.col("hash").eqNullSafe(F.col("_n.hash")) | ~is_active())
+    return met.select(*_taken(documents.columns, None, now)).unionByName(_added(documents, one, now), allowMissingColumns=True)
 
 
 def with_dense_ids(df: DataFrame, order: list[str], out: str) -> DataFrame:
@@ -142,35 +165,32 @@ def stale_fingerprints(vectors: DataFrame, expected: str | Column) -> DataFrame:
     return vectors.where((F.col("embed_fingerprint") != "") & (F.col("embed_fingerprint") != want)).select("embed_fingerprint").distinct()
 
 
+def embedded(hashes: DataFrame, content: DataFrame, backend, now: str) -> DataFrame:
+    """Rows of vectors, without vid, for the chunks of the contents of ``hashes``."""
+    pieces = chunks(content.join(hashes, "hash", "left_semi").select("hash", "doc"), "doc").where(~is_blank(F.col("chunk")))
+    made = backend.embed_passages(pieces, "chunk", "embedding")
+    return made.select("hash", "seq", "pos", F.lit(backend.embed_model).alias("model"), embed_fingerprint(backend.embed_model).alias("embed_fingerprint"), "total_chunks", F.lit(now).alias("embedded_at"), "embedding")
+
+
 def embed_pending(documents: DataFrame, content: DataFrame, vectors: DataFrame, backend, now: str, names: list[str] | None = None, rebuild: bool = False) -> DataFrame:
     """The vectors after embedding the chunks of everything pending; with ``rebuild`` what is in scope is embedded again.
 
-    One table results and is published at once, so a run that dies leaves the state before it.
+    One table results. :meth:`cairn.sources.store.Store.embed` does the same in steps that survive a failure.
     """
     if rebuild:
         vectors = vectors.join(in_collections(active(documents), names).select("hash").distinct(), "hash", "left_anti") if names else vectors.limit(0)
     todo = pending_hashes(documents, vectors, names)
-    pieces = chunks(content.join(todo, "hash", "left_semi").select("hash", "doc"), "doc").where(~is_blank(F.col("chunk")))
-    made = cut(backend.embed_passages(pieces, "chunk", "embedding"))
-    rows = allocate_vids(vectors, made).select(
-        "hash", "seq", "pos", F.lit(backend.embed_model).alias("model"), embed_fingerprint(backend.embed_model).alias("embed_fingerprint"), "total_chunks", F.lit(now).alias("embedded_at"), "vid", "embedding"
-    )
-    return upsert_vectors(vectors, rows)
+    return upsert_vectors(vectors, allocate_vids(vectors, cut(embedded(todo, content, backend, now))))
 
 
 # ---------------------------------------------------------------- collections, settings, reports
 
 
 def upsert_collection(collections: DataFrame, row: dict) -> DataFrame:
-    """The catalog with the collection ``row`` names. Of an existing one the fields that ``row`` lacks are kept."""
-    spark = collections.sparkSession
-    new = spark.createDataFrame([tuple(row.get(f.name) for f in collections.schema)], collections.schema)
-    old = collections.where(F.col("name") == row["name"])
-    default = {"pattern": F.lit("**/*.md"), "include_by_default": F.lit(True), "allow_hidden": F.lit(False)}
-    merged = new.alias("n").join(old.alias("o"), F.col("n.name") == F.col("o.name"), "left").select(
-        *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"), *([default[c]] if c in default else [])).alias(c) for c in collections.columns]
-    )
-    return collections.where(F.col("name") != row["name"]).unionByName(merged)
+    """The catalog with the collection ``row`` names, in place of one of that name; fields that ``row`` lacks have their defaults."""
+    default = {"pattern": DEFAULT_PATTERN, "include_by_default": True, "allow_hidden": False} | {k: v for k, v in row.items() if v is not None}
+    new = collections.sparkSession.createDataFrame([tuple(default.get(f.name) for f in collections.schema)], collections.schema)
+    return collections.where(F.col("name") != row["name"]).unionByName(new)
 
 
 def rename_collection(documents: DataFrame, collections: DataFrame, config: DataFrame, old: str, new: str) -> dict[str, DataFrame]:

@@ -112,10 +112,9 @@ def glob_regex(pattern: str, star_crosses: bool = True) -> str:
 
 
 def by_glob(documents: DataFrame, pattern: str, names: list[str] | None = None) -> DataFrame:
-    """Active documents whose path or collection/path matches; a star crosses slashes."""
-    regex = F.lit(glob_regex(pattern))
-    hit = F.regexp_like(F.col("path"), regex) | F.regexp_like(filepath(F.col("collection"), F.col("path")), regex)
-    return in_collections(active(documents), names).where(hit)
+    """Active documents whose collection/path matches as a whole; a star crosses slashes."""
+    full = filepath(F.col("collection"), F.col("path"))
+    return in_collections(active(documents), names).where(F.regexp_like(full, F.lit(glob_regex(pattern))))
 
 
 def multi_get(documents: DataFrame, request: str, names: list[str] | None = None) -> DataFrame:
@@ -154,12 +153,13 @@ def parse_spec(spec: str) -> dict[str, str | int | None]:
 
 
 def at_filepath(documents: DataFrame, collection: str, path: str) -> DataFrame:
-    return active(documents).where((F.col("collection") == collection) & (F.col("path") == path))
+    """The document at collection/path, active or not."""
+    return documents.where((F.col("collection") == collection) & (F.col("path") == path))
 
 
 def at_ids(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """Active documents of the ids in column doc_id."""
-    return active(documents).join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    """Documents of the ids in column doc_id, active or not."""
+    return documents.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def content_at(content: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -181,7 +181,8 @@ def numbered_lines(body: Column, first: Column | int = 1, count: Column | int |
     return F.array_join(F.transform(F.slice(lines, first, n), lambda line, i: F.format_string("%4d: %s", i + first, line)), "\n")
 
 
-def capped(df: DataFrame, most: int, order: list[str]) -> DataFrame:
-    """The first ``most`` rows by ``order``, each with ``total``, the number of rows before the cap."""
+def capped(df: DataFrame, most: int | None, order: list[str]) -> DataFrame:
+    """The first ``most`` rows by ``order`` (all without a number), each with ``total``, the number of rows before the cap."""
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    return df.orderBy(*order).limit(most).crossJoin(F.broadcast(total))  # one row
+    kept = df.orderBy(*order)
+    return (kept if most is None else kept.limit(most)).crossJoin(F.broadcast(total))  # one row

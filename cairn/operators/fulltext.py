@@ -1,8 +1,10 @@
 """Fielded keyword search with BM25, for a batch of queries in one plan.
 
-Documents are read once: each field becomes its length and, of its terms, only those that some query asks for, with positions.
-That table (a row a document and field) is written and serves lengths, document frequencies, term counts and phrases; statistics
-cover all active documents, whatever the scope. A larger set of terms than ``MAX_TERMS`` is met by joins instead of a list.
+Two sources serve lengths, document frequencies, term counts and phrases. A :class:`StoredIndex` holds the postings of all active
+documents, by buckets of terms and sorted by term, so that a batch reads the row groups of its terms and no text; it is refreshed by
+the documents that changed. Without an index documents are read once: each field becomes its length and, of its terms, only
+those that some query asks for, with positions. Statistics cover all active documents, whatever the scope. A larger set of terms than
+``MAX_TERMS`` is met by joins instead of a list.
 
 Scores add up over clauses and fields: boost * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / average len)), where idf is
 ln(1 + (N - df + 0.5) / (df + 0.5)) and a phrase has the sum of its terms' idf. Field lengths are exact.
@@ -13,21 +15,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.query_language import lex_clauses
 from cairn.functions.scalars import filepath
 from cairn.functions.text import tokens
 from cairn.operators.filters import active
+from cairn.operators.incremental import VersionedTarget, pending
 from cairn.plans.lineage import cut
 from cairn.plans.spread import spread
-from cairn.schemas import BM25_B, BM25_K1, FIELD_BOOST
+from cairn.schemas import BM25_B, BM25_K1, FIELD_BOOST, POSTINGS
 
 #: Distinct query terms that may stand as a list in the plan.
 MAX_TERMS = 5000
 #: Clauses of a batch that may be broadcast.
 MAX_CLAUSES = 200_000
+#: Buckets of terms in a stored index, and documents for which a bucket has one file. Lengths stand in a bucket of their own.
+BUCKETS, FILE_DOCUMENTS, LENGTHS = 16, 1_000_000, -1
 
 
 def parse_queries(queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
@@ -66,29 +72,101 @@ def field_stats(documents: DataFrame, body: str = "text") -> DataFrame:
     return _fields(documents, body).groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
 
 
+def _entries(documents: DataFrame, body: str, salts: int) -> DataFrame:
+    """Rows of a stored index: a posting for every term of a field, and for every field its length under no term.
+
+    One exchange, by bucket and a share of the documents, so that a term of all documents is no task of its own.
+    """
+    version = F.xxhash64("collection", "path", "title", "hash", body)
+    texts = [("filepath", filepath(F.col("collection"), F.col("path"))), ("title", F.col("title")), ("body", F.col(body))]
+    one = F.array(*[F.struct(F.lit(name).alias("field"), tokens(c).alias("terms")) for name, c in texts])
+    fields = spread(active(documents).select("doc_id", "collection", "path", "title", "hash", body)).select("doc_id", version.alias("version"), F.inline(one))
+    placed = F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("pos")))
+    each = fields.select("doc_id", "version", "field", F.size("terms").cast("bigint").alias("len"), F.inline(F.concat(none, placed)))
+    bucket = F.when(F.col("term").isNull(), F.lit(LENGTHS)).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    dealt = each.select("*", bucket.alias("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).repartition("bucket", "salt")
+    held = dealt.groupBy("bucket", "salt", "term", "field", "doc_id", "version", "len").agg(F.count("term").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return held.select(*POSTINGS.names, "salt")
+
+
+class StoredIndex:
+    """Postings on disk, as a :class:`VersionedTarget`. Each document's lengths carry a hash of what was indexed of it.
+
+    So the index is its own state: :meth:`refresh` takes in the documents whose hash it lacks and removes those that are gone or
+    inactive, and a refresh that dies leaves the version before it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.target = VersionedTarget(spark, path, ["doc_id"], partition_by=["bucket"], schema=POSTINGS, sort_by=["term", "field", "doc_id"])
+
+    def exists(self) -> bool:
+        return bool(self.target.versions())
+
+    def refresh(self, documents: DataFrame, body: str = "text") -> int | None:
+        """Bring the index to the state of ``documents``; the new version, or None if nothing changed."""
+        live = active(documents)
+        asked = live.select("doc_id", F.xxhash64("collection", "path", "title", "hash", body).alias("version"))
+        if not self.exists():
+            return self.target.publish(_entries(live, body, 1 + asked.count() // FILE_DOCUMENTS))
+        have = self.lengths().select("doc_id", "version").distinct()
+        fresh, stale = cut(pending(asked, have, ["doc_id"], "version")), cut(pending(have, asked, ["doc_id"], "version").select("doc_id"))
+        n, gone = fresh.count(), not stale.isEmpty()
+        if not n and not gone:
+            return None
+        rows = _entries(live.join(fresh.select("doc_id"), "doc_id", "left_semi"), body, 1 + n // FILE_DOCUMENTS) if n else None
+        return self.target.publish_change(rows, stale if gone else None)
+
+    def remove(self, doc_ids: DataFrame) -> int:
+        """Take the documents of column doc_id out of the index, until a refresh finds them in the catalog again."""
+        return self.target.publish_change(gone=doc_ids.select("doc_id"))
+
+    def lengths(self) -> DataFrame:
+        """doc_id, field, len and version of every field."""
+        return self.target.current(F.col("bucket") == LENGTHS).select("doc_id", "field", "len", "version")
+
+    def postings(self, terms: list[str] | None = None) -> DataFrame:
+        """term, field, doc_id, tf, len, positions; of ``terms`` only, whose row groups are read and no others."""
+        where = F.col("bucket") != LENGTHS
+        if terms is not None:
+            at = F.array_distinct(F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))) if terms else None
+            buckets = self.spark.range(1).select(at).first()[0] if terms else []
+            where = F.col("bucket").isin(buckets) & F.col("term").isin(terms)
+        return self.target.current(where).select("term", "field", "doc_id", "tf", "len", "positions")
+
+
 class _Hits:
     """Where the terms of a batch of queries occur: ``each`` (with positions only if some clause is a phrase), ``counts``, ``idf``."""
 
-    def __init__(self, documents: DataFrame, clauses: DataFrame, body: str, phrases: bool):
-        terms = clauses.select("term").distinct()
-        listed = [r[0] for r in terms.limit(MAX_TERMS + 1).collect()]
+    def __init__(self, documents: DataFrame, terms: DataFrame, listed: list[str] | None, body: str, phrases: bool, index: StoredIndex | None):
+        if index is not None:
+            found = index.postings(listed) if listed is not None else index.postings().join(terms, "term", "left_semi")
+            table = index.lengths()
+            self.counts = found.select("field", "term", "doc_id", "len", "tf")
+            self.each = found.select("doc_id", "field", "len", "term", F.explode("positions").alias("pos"))
+        else:
+            table = self._read(documents, terms, listed, body, phrases)
+            self.counts = cut(self.each.groupBy("field", "term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf")))
+        self.stats = F.broadcast(table.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")))  # three rows
+        df = self.counts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+        self.idf = df.join(self.stats, "field").select("field", "term", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+    def _read(self, documents: DataFrame, terms: DataFrame, listed: list[str] | None, body: str, phrases: bool) -> DataFrame:
         found = _fields(documents, body)
         n = F.size("terms").cast("bigint").alias("len")
         placed = F.transform("terms", lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
-        if len(listed) > MAX_TERMS:
-            table = cut(found.select("doc_id", "field", n))
+        if listed is None:
             self.each = cut(found.select("doc_id", "field", n, F.inline(placed)).join(terms, "term", "left_semi"))
-        elif phrases:
+            return cut(found.select("doc_id", "field", n))
+        if phrases:
             table = cut(found.select("doc_id", "field", n, F.filter(placed, lambda x: x.term.isin(listed)).alias("hits")))
             self.each = table.select("doc_id", "field", "len", F.inline("hits"))
-        else:
-            asked = F.filter("terms", lambda t: t.isin(listed)) if listed else F.slice("terms", 1, 0)
-            table = cut(found.select("doc_id", "field", n, asked.alias("hits")))
-            self.each = table.select("doc_id", "field", "len", F.explode("hits").alias("term"))
-        self.stats = F.broadcast(table.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")))  # three rows
-        self.counts = cut(self.each.groupBy("field", "term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf")))
-        df = self.counts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-        self.idf = df.join(self.stats, "field").select("field", "term", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+            return table
+        asked = F.filter("terms", lambda t: t.isin(listed)) if listed else F.slice("terms", 1, 0)
+        table = cut(found.select("doc_id", "field", n, asked.alias("hits")))
+        self.each = table.select("doc_id", "field", "len", F.explode("hits").alias("term"))
+        return table
 
 
 def _weight(field: Column, idf: Column) -> Column:
@@ -108,16 +186,26 @@ def _phrase_scores(hits: _Hits, phrases: DataFrame, key: str) -> DataFrame:
     return counted.join(idf, [key, "clause", "field"]).join(hits.stats, "field").select(key, "negated", "doc_id", _weight(F.col("field"), F.col("idf")).alias("s"))
 
 
-def bm25_scores(documents: DataFrame, queries: DataFrame, key: str = "query_id", text: str = "query", body: str = "text") -> DataFrame:
+def bm25_scores(documents: DataFrame, queries: DataFrame, key: str = "query_id", text: str = "query", body: str = "text", index: StoredIndex | None = None) -> DataFrame:
     """key, doc_id and raw score of every document that holds a clause of the query and none of its negated ones.
 
-    A query without positive clauses finds nothing. Null queries, texts and titles have no terms. Repeated words add up. What a
-    word adds to a document is found once for all queries that ask for it.
+    With ``index`` it is searched, and no text is read. A query without positive clauses finds nothing. Null queries, texts and titles
+    have no terms. Repeated words add up. What a word adds to a document is found once for all queries that ask for it.
     """
-    clauses = cut(parse_queries(queries, key, text))
-    n, phrases, negations = clauses.agg(F.count(F.lit(1)), F.bool_or(F.col("size") > 1), F.bool_or("negated")).first()
+    parsed = parse_queries(queries, key, text)
+    few = parsed.limit(MAX_CLAUSES + 1).toArrow()  # bounded: a request's words come to the driver once
+    if n := few.num_rows if few.num_rows <= MAX_CLAUSES else 0:
+        clauses = queries.sparkSession.createDataFrame(few)
+        phrases, negations = pc.any(pc.greater(few.column("size"), 1)).as_py(), pc.any(few.column("negated")).as_py()
+        listed = pc.unique(few.column("term")).to_pylist()
+    elif not few.num_rows:
+        clauses, phrases, negations, listed = parsed.limit(0), False, False, []
+    else:
+        clauses = cut(parsed)
+        n, phrases, negations = clauses.agg(F.count(F.lit(1)), F.bool_or(F.col("size") > 1), F.bool_or("negated")).first()
+        listed = [r[0] for r in clauses.select("term").distinct().limit(MAX_TERMS + 1).collect()]
     small = F.broadcast if n <= MAX_CLAUSES else (lambda d: d)
-    hits = _Hits(documents, clauses, body, bool(phrases))
+    hits = _Hits(documents, clauses.select("term").distinct(), listed if len(listed) <= MAX_TERMS else None, body, bool(phrases), index)
     words = hits.counts.join(F.broadcast(hits.idf) if n <= MAX_CLAUSES else hits.idf, ["field", "term"]).join(hits.stats, "field")
     by_term = words.groupBy("term", "doc_id").agg(F.sum(_weight(F.col("field"), F.col("idf"))).alias("s"))
     single = clauses.where("size = 1").groupBy(key, "term", "negated").agg(F.count(F.lit(1)).alias("_m"))
@@ -135,13 +223,13 @@ def squashed(score: Column) -> Column:
     return score / (F.lit(1.0) + score)
 
 
-def search(documents: DataFrame, queries: DataFrame, limit: int, scope: DataFrame | None = None, key: str = "query_id", text: str = "query", body: str = "text", digits: int = 6) -> DataFrame:
+def search(documents: DataFrame, queries: DataFrame, limit: int, scope: DataFrame | None = None, key: str = "query_id", text: str = "query", body: str = "text", digits: int = 6, index: StoredIndex | None = None) -> DataFrame:
     """The ``limit`` best documents of each query: key, doc_id, filepath, title, hash, score in [0, 1), rank from 1.
 
     ``scope`` holds the doc_ids that may come out; it is applied before the cut and leaves statistics alone. Ties go to the
-    smaller filepath; scores are rounded to ``digits``.
+    smaller filepath; scores are rounded to ``digits``. ``index`` must be at the state of ``documents``.
     """
-    scored = bm25_scores(documents, queries, key, text, body).withColumn("score", F.round(squashed(F.col("score")), digits))
+    scored = bm25_scores(documents, queries, key, text, body, index).withColumn("score", F.round(squashed(F.col("score")), digits))
     about = active(documents).select("doc_id", filepath(F.col("collection"), F.col("path")).alias("filepath"), "title", "hash")
     if scope is not None:
         about = about.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")

@@ -6,8 +6,6 @@ hits are so strong that expansion is needless is a join in that plan, not a ques
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from cairn.functions.chunking import best_chunks, chunks
 from cairn.functions.query_language import expansion_prompt, parse_expansion, parse_query
 from cairn.functions.scalars import collection_of, docid, file_uri, filepath, path_of, query_terms
 from cairn.operators.filters import active
-from cairn.operators.fulltext import search, strong_signal
+from cairn.operators.fulltext import StoredIndex, search, strong_signal
 from cairn.operators.fusion import blend, fuse
 from cairn.operators.vectors import vsearch
 from cairn.plans.lineage import cut
@@ -42,11 +40,11 @@ def plan_searches(spark: SparkSession, queries: list[tuple[int, str]], intents:
     return spark.createDataFrame(subs, _SUB), spark.createDataFrame(heads, "query_id bigint, query string, intent string, expand string")
 
 
-def ranked_lists(searches: DataFrame, documents: DataFrame, vectors: DataFrame, backend, pool: int, scope: DataFrame | None) -> DataFrame:
+def ranked_lists(searches: DataFrame, documents: DataFrame, vectors: DataFrame, backend, pool: int, scope: DataFrame | None, index: StoredIndex | None = None) -> DataFrame:
     """A list (query_id, list_id, list_source, query_type, weight, filepath, backend_score) from each search."""
     allowed = active(documents) if scope is None else active(documents).join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
     meta = searches.select("sub_id", "query_id", "list_id", "qtype", "weight")
-    lex = search(documents, searches.where("qtype = 'lex'").select("sub_id", "text"), pool, scope, "sub_id", "text")
+    lex = search(documents, searches.where("qtype = 'lex'").select("sub_id", "text"), pool, scope, "sub_id", "text", index=index)
     found = lex.select("sub_id", "filepath", F.col("score").alias("backend_score"))
     if backend.can_embed:
         as_query = backend.embed_queries(searches.where("qtype = 'vec'"), "text", "embedding").select("sub_id", "embedding")
@@ -60,7 +58,7 @@ def ranked_lists(searches: DataFrame, documents: DataFrame, vectors: DataFrame,
 
 def hybrid_search(
     queries: list[tuple[int, str]], documents: DataFrame, content: DataFrame, vectors: DataFrame, backend, limit: int = 10, scope: DataFrame | None = None,
-    intents: dict[int, str] | None = None, rerank: bool = True, expand: bool = True, expansions: DataFrame | None = None, rerank_scores: DataFrame | None = None,
+    intents: dict[int, str] | None = None, rerank: bool = True, expand: bool = True, expansions: DataFrame | None = None, rerank_scores: DataFrame | None = None, index: StoredIndex | None = None,
 ) -> DataFrame:
     """Search results of a batch: query_id, position, score, docid, file, filepath, title, collection, path, body, best_chunk,
     best_chunk_pos.
@@ -71,7 +69,7 @@ def hybrid_search(
     spark = documents.sparkSession
     pool = pool_size(limit)
     searches, heads = plan_searches(spark, queries, intents)
-    lists = ranked_lists(searches, documents, vectors, backend, pool, scope)
+    lists = ranked_lists(searches, documents, vectors, backend, pool, scope, index)
     if expand and (expansions is not None or backend.can_generate):
         asked = heads.where(F.col("expand").isNotNull() & (F.col("expand") != ""))
         if expansions is None:
@@ -79,12 +77,12 @@ def hybrid_search(
             answers = backend.generate(prompts, "prompt", "answer").select("query_id", "answer").collect()
             made = [(r.query_id, kind, text) for r in answers for kind, text in parse_expansion(r.answer)]
             expansions = spark.createDataFrame(made, "query_id bigint, qtype string, text string")
-        probe = search(documents, asked.select("query_id", F.col("expand").alias("query")), 2, scope)
+        probe = search(documents, asked.select("query_id", F.col("expand").alias("query")), 2, scope, index=index)
         weak = asked.select("query_id").join(strong_signal(probe).where("strong"), "query_id", "left_anti")
         more = expansions.join(weak, "query_id", "left_semi").orderBy("query_id", "qtype", "text").collect()  # a request's expansions
         rows = [(r.query_id, 1_000_000 + i, 100 + i, r.qtype, WEIGHT_OTHER, r.text) for i, r in enumerate(more)]
         if rows:
-            lists = lists.unionByName(ranked_lists(spark.createDataFrame(rows, _SUB), documents, vectors, backend, pool, scope))
+            lists = lists.unionByName(ranked_lists(spark.createDataFrame(rows, _SUB), documents, vectors, backend, pool, scope, index))
     fused = cut(fuse(lists, pool))
     about = active(documents).select("doc_id", filepath(F.col("collection"), F.col("path")).alias("filepath"), "title", "hash")
     # texts are fetched for the candidates only: at most 100 a query
@@ -106,8 +104,3 @@ def hybrid_search(
         "query_id", "position", "score", docid(F.col("hash")).alias("docid"), file_uri(F.col("filepath")).alias("file"), "filepath", "title",
         collection_of(F.col("filepath")).alias("collection"), path_of(F.col("filepath")).alias("path"), "body", "best_chunk", "best_chunk_pos",
     )
-
-
-def union_lists(*lists: DataFrame) -> DataFrame:
-    """Ranked lists of several sources under list ids of their own."""
-    return reduce(lambda a, b: a.unionByName(b), [d.withColumn("list_id", F.lit(i)) for i, d in enumerate(lists)])

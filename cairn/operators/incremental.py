@@ -9,13 +9,17 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.functions.text import is_blank
+from cairn.plans.lineage import cut
 
 
 def pending(source: DataFrame, done: DataFrame, key: list[str], version: str | None = None) -> DataFrame:
@@ -58,76 +62,161 @@ def pending_documents(documents: DataFrame, vectors: DataFrame, fingerprint: str
     return pending(live, complete_hashes(vectors, fingerprint), ["hash"])
 
 
+#: File systems on which a rename refuses a name that exists, in one step.
+_RENAMING = ("hdfs", "viewfs", "ofs", "o3fs", "abfs", "abfss")
+#: Folders without a marker are left alone for so many seconds, for the run that may still be writing them.
+LEASE = 24 * 3600
+
+
 class VersionedTarget:
-    """A table published version by version: ``<path>/v-<n>-<id>`` holds rows, ``<path>/_published/<n>`` names the folder.
+    """A table published version by version. ``<path>/_published/<n>`` is the manifest of version n: the folders it consists of.
 
-    A version is visible once its marker exists. Markers are made by a rename that refuses an existing name, as file systems of
-    HDFS's kind have it; of two runs that publish the same number one fails and nothing is mixed.
-    Folders without a marker are leftovers of failed runs: never read, removed by :meth:`vacuum`.
+    A version is a list of parts, each with a folder of rows, a folder of removed keys, or both: a part removes what earlier parts hold
+    of these keys and adds its rows. So publishing a change writes the change alone; :meth:`compact` makes one part of them all.
+
+    A version is visible once its manifest exists, which comes about complete and in one step: by a hard link on local disks, elsewhere
+    by a rename, on file systems where a rename refuses an existing name (others are refused with an error). Of two runs that publish
+    the same number one fails and nothing is mixed. Folders of no manifest are leftovers of failed runs: never read, and removed by
+    :meth:`vacuum` once they are older than the lease.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._at = lambda *p: jvm.org.apache.hadoop.fs.Path("/".join([self.path, *p]))
+    def __init__(self, spark: SparkSession, path: str, key: list[str] | None = None, partition_by: list[str] | None = None, schema: T.StructType | None = None, sort_by: list[str] | None = None):
+        """``partition_by`` lays rows out in folders, sorted by ``sort_by``; ``schema`` holds also for parts without a row."""
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key or []
+        self.partition_by, self.sort_by, self.schema = partition_by or [], sort_by or [], schema
+        self._jvm = spark.sparkContext._jvm
+        self._at = lambda *p: self._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *p]))
         self._fs = self._at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> dict[int, str]:
+    def versions(self) -> list[int]:
+        """Numbers of the published versions; nothing but names is read."""
         if not self._fs.exists(self._at("_published")):
-            return {}
+            return []
         names = [s.getPath().getName() for s in self._fs.listStatus(self._at("_published"))]
-        out = {}
-        for n in sorted(int(x) for x in names if re.fullmatch(r"\d+", x)):
-            line = self.spark.read.text(f"{self.path}/_published/{n}").collect()  # one line
-            out[n] = json.loads(line[0][0])["folder"]
-        return out
-
-    def current(self) -> DataFrame | None:
-        """The rows of the newest published version, or None."""
-        found = self.versions()
-        return self.spark.read.parquet(f"{self.path}/{found[max(found)]}") if found else None
-
-    def publish(self, rows: DataFrame) -> int:
+        return sorted(int(x) for x in names if re.fullmatch(r"\d+", x))
+
+    def manifest(self, n: int) -> list[dict]:
+        """The parts of version ``n``: rows and gone, names of folders or None."""
+        stream = self._fs.open(self._at("_published", str(n)))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["parts"]
+        finally:
+            stream.close()
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        reader = lambda f: self.spark.read.schema(self.schema) if self.schema is not None and "-gone-" not in f else self.spark.read
+        frames = [reader(f).parquet(f"{self.path}/{f}") for f in folders]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+    def current(self, where: Column | None = None) -> DataFrame | None:
+        """The rows of the newest published version, or None. ``where`` narrows what is read of every folder."""
         found = self.versions()
-        n = max(found, default=0) + 1
-        folder, unseen = f"v-{n}-{uuid.uuid4().hex[:12]}", f"_new-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{folder}")
-        out = self._fs.create(self._at(unseen), False)
-        out.write(bytearray(json.dumps({"folder": folder}).encode()))
+        if not found:
+            return None
+        parts = self.manifest(found[-1])
+        narrow = lambda d: d if where is None else d.where(where)
+        gone = [(i, p["gone"]) for i, p in enumerate(parts) if p["gone"]]
+        if not gone:
+            return narrow(self._read([p["rows"] for p in parts if p["rows"]]))
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [narrow(self._read([p["rows"]])).withColumn("_part", F.lit(i)) for i, p in enumerate(parts) if p["rows"]])
+        removed = reduce(DataFrame.unionByName, [self._read([f]).select(*[F.col(c).alias(f"_gone_{c}") for c in self.key], F.lit(i).alias("_by")) for i, f in gone])
+        last = removed.groupBy(*[f"_gone_{c}" for c in self.key]).agg(F.max("_by").alias("_by"))
+        same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(last[f"_gone_{c}"]) for c in self.key])
+        return rows.join(last, same & (rows["_part"] < last["_by"]), "left_anti").drop("_part")
+
+    def _write(self, rows: DataFrame, name: str) -> str:
+        folder = f"v-{name}-{uuid.uuid4().hex[:12]}"
+        if self.partition_by and set(self.partition_by) <= set(rows.columns):
+            kept = [c for c in rows.columns if self.schema is None or c in self.schema.names]
+            rows.sortWithinPartitions(*self.partition_by, *self.sort_by).select(*kept).write.partitionBy(*self.partition_by).parquet(f"{self.path}/{folder}")
+        else:
+            rows.write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _announce(self, n: int, parts: list[dict]) -> None:
+        unseen, marker = self._at(f"_new-{uuid.uuid4().hex}"), self._at("_published", str(n))
+        out = self._fs.create(unseen, False)
+        out.write(bytearray(json.dumps({"parts": parts}).encode()))
         out.close()
         self._fs.mkdirs(self._at("_published"))
-        marker = self._at("_published", str(n))
-        if self._fs.exists(marker) or not self._fs.rename(self._at(unseen), marker):
-            self._fs.delete(self._at(unseen), False)
-            self._fs.delete(self._at(folder), True)
+        scheme = self._fs.getUri().getScheme()
+        if scheme == "file":
+            files, plain = self._jvm.java.nio.file.Files, lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+            try:
+                files.createLink(plain(marker), plain(unseen))
+                done = True
+            except Exception:  # the name exists
+                done = False
+        elif scheme in _RENAMING:
+            done = not self._fs.exists(marker) and self._fs.rename(unseen, marker)
+        else:
+            raise NotImplementedError(f"{scheme}: no step that creates a file once and whole; put the table on one of file, {', '.join(_RENAMING)}")
+        self._fs.delete(unseen, False)
+        if not done:
             raise RuntimeError(f"version {n} was published by another run")
+        lost = [f for p in parts for f in p.values() if f and not self._fs.exists(self._at(f))]
+        if lost:
+            self._fs.delete(marker, False)
+            raise RuntimeError(f"version {n} lost its folders {lost} before it was published")
+
+    def _publish(self, before: list[dict], rows: DataFrame | None, gone: DataFrame | None, n: int) -> int:
+        part = {"rows": None, "gone": None}
+        try:
+            part["rows"] = None if rows is None else self._write(rows, f"{n}")
+            part["gone"] = None if gone is None else self._write(gone.select(*self.key).distinct(), f"{n}-gone")
+            self._announce(n, [*before, part])
+        except Exception:
+            for f in filter(None, part.values()):
+                self._fs.delete(self._at(f), True)
+            raise
         return n
 
-    def vacuum(self, keep: int = 2) -> list[str]:
-        """Remove all but the newest ``keep`` versions and every folder that was never published."""
+    def publish(self, rows: DataFrame) -> int:
+        """A version of ``rows`` alone."""
+        return self._publish([], rows, None, max(self.versions(), default=0) + 1)
+
+    def publish_change(self, rows: DataFrame | None = None, gone: DataFrame | None = None) -> int:
+        """The newest version without the keys of ``gone`` and with ``rows`` added. Only these are written."""
+        if gone is not None and not self.key:
+            raise ValueError("a table without a key can't lose rows")
+        found = self.versions()
+        return self._publish(self.manifest(found[-1]) if found else [], rows, gone, max(found, default=0) + 1)
+
+    def compact(self) -> int | None:
+        """A version with the same rows in one part; None if there is one part or none."""
+        found = self.versions()
+        if not found or len(self.manifest(found[-1])) < 2:
+            return None
+        return self._publish([], self.current(), None, found[-1] + 1)
+
+    def vacuum(self, keep: int = 2, lease: float = LEASE) -> list[str]:
+        """Remove all but the newest ``keep`` versions, and folders of no manifest that are older than ``lease`` seconds."""
         found = self.versions()
-        kept = {found[n] for n in sorted(found)[-keep:]}
+        for n in found[:-keep]:
+            self._fs.delete(self._at("_published", str(n)), False)
+        held = {f for n in found[-keep:] for p in self.manifest(n) for f in p.values() if f}
         gone = []
         for s in self._fs.listStatus(self._at()):
             name = s.getPath().getName()
-            if name.startswith(("v-", "_new-")) and name not in kept:
+            if name.startswith(("v-", "_new-")) and name not in held and s.getModificationTime() < (time.time() - lease) * 1000:
                 self._fs.delete(s.getPath(), True)
                 gone.append(name)
-        for n in sorted(found)[:-keep]:
-            self._fs.delete(self._at("_published", str(n)), False)
         return sorted(gone)
 
     def run(self, source: DataFrame, key: list[str], version: str, work: Callable[[DataFrame], DataFrame]) -> int | None:
-        """Process the source rows whose (key, version) the target lacks and publish old plus new rows; None if nothing is new.
+        """Process the source rows whose (key, version) the target lacks and publish the change; None if nothing is new.
 
         ``work`` must keep the columns of ``key`` and ``version``. Rows of a key with another version are replaced; keys that
-        are no longer in the source stay.
+        are no longer in the source stay. What is written is in proportion to what is new.
         """
+        self.key = self.key or key
         now = self.current()
         fresh = source if now is None else pending(source, now, key, version)
-        if fresh.limit(1).isEmpty():
+        keys = cut(fresh.select(*key).distinct())
+        if keys.isEmpty():
             return None
         made = work(fresh)
-        if now is not None:
-            made = pending(now, fresh, key).unionByName(made, allowMissingColumns=True)
-        return self.publish(made)
+        if now is None:
+            return self.publish(made)
+        had = cut(pending(keys, pending(keys, now, key), key))  # keys that the target holds
+        return self.publish_change(made, None if had.isEmpty() else had)

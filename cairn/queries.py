@@ -6,6 +6,8 @@ is divisible by 20; what is searched is always the whole table.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from cairn.functions.backends import StubBackend
 from cairn.functions.chunking import best_chunks, chunks, snippets
 from cairn.functions.text import tokens
 from cairn.operators import catalog, context, evaluate, filters, fulltext, fusion, hybrid, incremental, sinks, vectors
+from cairn.plans.lineage import shared_dir
 from cairn.streaming.ingest import windowed_counts
 from cairn.tables import config_value, table
 
@@ -250,18 +253,18 @@ def needle_match(spark, d):
     return filters.by_needles(_docs(spark, d), ["the.md", "the-plan.md", least]).select("doc_id")
 
 
-@query(f"select doc_id from documents where {_LIVE} and (regexp_matches(path, '(?s)^(guide|conflicts)/.*-plan-[a-m].*[.]md$') or regexp_matches({_FP}, '(?s)^(guide|conflicts)/.*-plan-[a-m].*[.]md$'))")
+@query(f"select doc_id from documents where {_LIVE} and (regexp_matches({_FP}, '(?s)^(home|runbooks)/.*-plan-[a-m].*[.]md$')")
 def glob_match(spark, d):
-    return filters.by_glob(_docs(spark, d), "{guide,conflicts}/*-plan-[a-m]*.md").select("doc_id")
+    return filters.by_glob(_docs(spark, d), "{home,runbooks}/*-plan-[a-m]*.md").select("doc_id")
 
 
 @query(f"""
 select doc_id, collection, path from documents where {_LIVE} and (
-  regexp_matches(path, '(?s)^guide/.*notes.*$') or regexp_matches({_FP}, '(?s)^guide/.*notes.*$') or ends_with('/' || path, '/the.md')
+  regexp_matches({_FP}, '(?s)^runbooks/.*notes.*$') or ends_with('/' || path, '/the.md')
   or doc_id = (select doc_id from documents where {_LIVE} and starts_with(hash, 'a') order by collection, path limit 1))
 """)
 def multi_get(spark, d):
-    return filters.multi_get(_docs(spark, d), "guide/*notes*, #a, the.md, doc://the.md").select("doc_id", "collection", "path")
+    return filters.multi_get(_docs(spark, d), "runbooks/*notes*, #a, the.md, doc://the.md").select("doc_id", "collection", "path")
 
 
 @query(f"select doc_id, path from documents where {_LIVE} and collection = 'runbooks' and starts_with(path, 'guide')")
@@ -324,6 +327,38 @@ def token_stats(spark, d):
     return each.groupBy("term").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
+_indexes: dict[tuple[str, str], fulltext.StoredIndex] = {}
+
+
+def _index(spark: SparkSession, d: str) -> fulltext.StoredIndex:
+    """The stored index of the directory's documents, in the shared folder; built by the first query of an application that needs it."""
+    name = (spark.sparkContext.applicationId, os.path.abspath(d) if "://" not in d else d)
+    if name not in _indexes:
+        index = fulltext.StoredIndex(spark, f"{shared_dir(spark)}/cairn-index-{uuid.uuid4().hex}")
+        index.refresh(_docs(spark, d))
+        _indexes[name] = index
+    return _indexes[name]
+
+
+@query(f"""
+with {_FIELDS.replace(f"select doc_id, {_FP} as filepath, title, text, collection from documents where {_LIVE}", f"select doc_id, {_FP} as filepath, case when collection = 'memos' then 'Renewed ' || coalesce(title, '') else title end as title, text, collection from documents where {_LIVE} and collection <> 'specs'")},
+t as (select field, doc_id, unnest(w) as term from f),
+o as (select field, term, doc_id, count(*) as tf from t group by all)
+select field, term, count(*) as docs, sum(tf) as n, 0::bigint as len from o group by field, term
+union all select field, null, count(*), 0, sum(len(w)) from f group by field
+""")
+def index_update(spark, d):
+    """A stored index that met first all documents, then a catalog in which a collection is gone and another's titles changed."""
+    documents = _docs(spark, d)
+    index = fulltext.StoredIndex(spark, f"{shared_dir(spark)}/cairn-index-{uuid.uuid4().hex}")
+    index.refresh(documents)
+    changed = documents.where("collection <> 'specs'").withColumn("title", F.when(F.col("collection") == "memos", F.concat(F.lit("Renewed "), F.coalesce("title", F.lit("")))).otherwise(F.col("title")))
+    index.refresh(changed)
+    terms = index.postings().groupBy("field", "term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("n"), F.lit(0).cast("bigint").alias("len"))
+    lengths = index.lengths().groupBy("field").agg(F.lit(None).cast("string").alias("term"), F.count(F.lit(1)).alias("docs"), F.lit(0).cast("bigint").alias("n"), F.sum("len").alias("len"))
+    return terms.unionByName(lengths)
+
+
 def _bm25(scope: str = "true", limit: int = 10) -> str:
     clean = r"regexp_replace(query, '[^\p{L}\p{N}]+', ' ', 'g')"
     return f"""
@@ -342,13 +377,13 @@ top as (select * from ranked where rank <= {limit})
 
 @query(f"with {_bm25()} select query_id, doc_id, filepath, score, rank from top")
 def bm25_batch(spark, d):
-    return fulltext.search(_docs(spark, d), _eval_queries(spark, d), 10).select("query_id", "doc_id", "filepath", "score", "rank")
+    return fulltext.search(_docs(spark, d), _eval_queries(spark, d), 10, index=_index(spark, d)).select("query_id", "doc_id", "filepath", "score", "rank")
 
 
 @query(f"with {_bm25(scope='collection in (' + chr(39) + 'specs' + chr(39) + ', ' + chr(39) + 'memos' + chr(39) + ')')} select query_id, doc_id, filepath, score, rank from top")
 def bm25_scoped(spark, d):
     scope = filters.in_collections(_docs(spark, d), ["specs", "memos"])
-    return fulltext.search(_docs(spark, d), _eval_queries(spark, d), 10, scope).select("query_id", "doc_id", "filepath", "score", "rank")
+    return fulltext.search(_docs(spark, d), _eval_queries(spark, d), 10, scope, index=_index(spark, d)).select("query_id", "doc_id", "filepath", "score", "rank")
 
 
 @query(f"""
@@ -357,7 +392,7 @@ select query_id, first, second, first >= 0.85 and first - second >= 0.15 as stro
 from (select query_id, max(case when rank = 1 then score end) as first, coalesce(max(case when rank = 2 then score end), 0) as second from top group by query_id)
 """)
 def strong_signal(spark, d):
-    return fulltext.strong_signal(fulltext.search(_docs(spark, d), _eval_queries(spark, d), 2))
+    return fulltext.strong_signal(fulltext.search(_docs(spark, d), _eval_queries(spark, d), 2, index=_index(spark, d)))
 
 
 def _marked(words: str) -> str:
@@ -373,7 +408,7 @@ select 3::bigint, doc_id from {_marked('the second')} where doc_id not in (selec
 """)
 def phrase_and_negation(spark, d):
     asked = spark.createDataFrame([(1, '"the platform crew"'), (2, "on-call-person -budget"), (3, '"The Second" -"gave up on"'), (4, "-budget")], "query_id bigint, query string")
-    return fulltext.bm25_scores(_docs(spark, d), asked).select("query_id", "doc_id")
+    return fulltext.bm25_scores(_docs(spark, d), asked, index=_index(spark, d)).select("query_id", "doc_id")
 
 
 @query(f"""
@@ -384,7 +419,7 @@ x as (select unnest([difficulty, 'all']) as difficulty, first from h), k as (sel
 select difficulty, k, count(*) as n, count(*) filter (first <= k) as hits, round(count(*) filter (first <= k) / count(*), 6) as rate from x, k group by all
 """)
 def hit_at_k(spark, d):
-    results = fulltext.search(_docs(spark, d), _eval_queries(spark, d), 10)
+    results = fulltext.search(_docs(spark, d), _eval_queries(spark, d), 10, index=_index(spark, d))
     expected = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "expected_doc", "difficulty")
     return evaluate.hit_rates(results, expected)
 
@@ -487,7 +522,7 @@ select query_id, filepath, score, position from y where position <= 10
 """)
 def hybrid_topk(spark, d):
     asked = [(r.query_id, r.query.strip()) for r in _eval_queries(spark, d).collect()]  # the held-out items: a request
-    found = hybrid.hybrid_search(asked, _docs(spark, d), table(spark, d, "content"), _one_per_vid(spark, d), StubBackend(64), limit=10, rerank=False, expand=False)
+    found = hybrid.hybrid_search(asked, _docs(spark, d), table(spark, d, "content"), _one_per_vid(spark, d), StubBackend(64), limit=10, rerank=False, expand=False, index=_index(spark, d))
     return found.select("query_id", "filepath", "score", "position")
 
 
@@ -523,7 +558,7 @@ def best_line(spark, d):
 @query()
 def json_results(spark, d):
     asked = [(r.query_id, r.query.strip()) for r in _eval_queries(spark, d).collect()]
-    found = hybrid.hybrid_search(asked, _docs(spark, d), table(spark, d, "content"), _one_per_vid(spark, d), StubBackend(64), limit=10, rerank=True, expand=False)
+    found = hybrid.hybrid_search(asked, _docs(spark, d), table(spark, d, "content"), _one_per_vid(spark, d), StubBackend(64), limit=10, rerank=True, expand=False, index=_index(spark, d))
     return sinks.json_documents(context.with_context(found, table(spark, d, "config"), ["query_id", "position"]))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-_KINDS = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType())}
+_KINDS = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType()), "array<int>": T.ArrayType(T.IntegerType())}
 
 
 def _struct(ddl: str) -> T.StructType:
@@ -20,6 +20,11 @@ COLLECTIONS = _struct("name string, path string, pattern string, ignore array<st
 CONFIG = _struct("key string, value string")
 TABLES = {"content": CONTENT, "documents": DOCUMENTS, "content_vectors": CONTENT_VECTORS, "collections": COLLECTIONS, "config": CONFIG}
 
+#: What tells a table's rows apart, and so what a change replaces.
+KEYS = {"content": ["hash"], "documents": ["doc_id"], "content_vectors": ["hash", "seq"], "collections": ["name"], "config": ["key"]}
+#: A stored index: postings, and the length of every field of every document under no term.
+POSTINGS = _struct("bucket int, term string, field string, doc_id bigint, version bigint, len bigint, tf bigint, positions array<int>")
+
 RANKED = _struct("query_id bigint, list_id int, list_source string, query_type string, weight double, filepath string, backend_score double")
 QUERIES = _struct("query_id bigint, query string")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from cairn.functions.scalars import content_hash
 from cairn.operators.filters import glob_regex
-from cairn.plans.arrow import by_slice
+from cairn.plans.arrow import by_slice, sliced
+from cairn.plans.lineage import cut
+from cairn.plans.spread import spread
 from cairn.schemas import DEFAULT_PATTERN
 
 # Directories that are never part of a collection.
@@ -60,22 +63,94 @@ def is_excluded(path: Column, ignore: list[str] | None = None, allow_hidden: boo
     return skipped | hidden | _any(path, ignore_regexes(ignore))
 
 
+def _open(root: str):
+    """File system and plain path of ``root``, a path or URI."""
+    from pyarrow import fs
+
+    if "://" in root or root.startswith("file:"):
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/*", "file:///", root)))
+    return fs.LocalFileSystem(), root
+
+
+def listing(spark: SparkSession, root: str, allow_hidden: bool = False) -> DataFrame:
+    """path (relative), length and modificationTime of the files below ``root``, level by level and each directory in a task.
+
+    No file is opened. Directories that are never part of a collection, and hidden ones unless allowed, aren't entered. A directory
+    that can't be read has no files.
+    """
+    from pyarrow import fs
+
+    schema = "path string, is_dir boolean, length bigint, modificationTime timestamp"
+
+    def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _open(root)
+        for batch in batches:
+            rows = []
+            for at in batch.column(0).to_pylist():
+                try:
+                    found = system.get_file_info(fs.FileSelector(f"{base}/{at}".rstrip("/") or "/"))
+                except OSError:
+                    continue
+                for f in found:
+                    if f.type in (fs.FileType.File, fs.FileType.Directory):
+                        rows.append((f"{at}/{f.base_name}".lstrip("/"), f.type == fs.FileType.Directory, f.size, f.mtime_ns))
+            cols = list(zip(*rows)) or [(), (), (), ()]
+            when = pa.array(cols[3], pa.int64()).cast(pa.timestamp("ns")).cast(pa.timestamp("us"), safe=False).cast(pa.timestamp("us", tz="UTC"))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.int64()), when], names=["path", "is_dir", "length", "modificationTime"])
+
+    level, files = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        met = cut(level.mapInArrow(children, schema))
+        files.append(met.where(~F.col("is_dir")).drop("is_dir"))
+        below = met.where(F.col("is_dir") & ~is_excluded(F.col("path"), None, allow_hidden)).select("path")
+        n = below.count()
+        if not n:
+            return reduce(DataFrame.unionByName, files)
+        level = below.repartition(min(n, 4 * spark.sparkContext.defaultParallelism))
+
+
 def scan(spark: SparkSession, root: str, pattern: str | None = None, ignore: list[str] | None = None, allow_hidden: bool = False) -> DataFrame:
-    """path (relative) and content (bytes) of the files below ``root`` that the mask includes and no rule excludes."""
-    root = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
-    base = re.sub(r"^[a-z0-9]+:(//[^/]*)?(?=/)", "", root)
-    relative = F.substring(plain, F.lit(len(base) + 2), F.length(plain))
-    found = files.select(relative.alias("path"), "content", "length", "modificationTime")
-    return found.where(_any(F.col("path"), include_regexes(pattern)) & ~is_excluded(F.col("path"), ignore, allow_hidden))
+    """path (relative), length, modificationTime, content (bytes) and error of the files below ``root`` that the mask includes and no rule
+    excludes. Only these are read. A file that can't be read has no content and an error: not_found, permission or io."""
+    root = root.rstrip("/") or "/"
+    if not _exists(root):
+        raise FileNotFoundError(root)
+    found = listing(spark, root, allow_hidden)
+    kept = found.where(_any(F.col("path"), include_regexes(pattern)) & ~is_excluded(F.col("path"), ignore, allow_hidden))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _open(root)
+        for piece in sliced(batches, 16):
+            contents, errors = [], []
+            for path in piece.column(0).to_pylist():
+                try:
+                    with system.open_input_stream(f"{base}/{path}", compression=None) as f:
+                        contents.append(f.read())
+                    errors.append(None)
+                except (FileNotFoundError, NotADirectoryError):
+                    contents.append(None)
+                    errors.append("not_found")
+                except OSError as e:
+                    contents.append(None)
+                    errors.append("permission" if isinstance(e, PermissionError) or getattr(e, "errno", None) in (1, 13) else "io")
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(contents, pa.binary()), pa.array(errors, pa.string())], names=[*piece.schema.names, "content", "error"])
+
+    return spread(kept).mapInArrow(read, "path string, length bigint, modificationTime timestamp, content binary, error string")
+
+
+def _exists(root: str) -> bool:
+    from pyarrow import fs
+
+    system, base = _open(root)
+    return system.get_file_info(base).type != fs.FileType.NotFound
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """``files`` with raw (text) and skip_reason: not_utf8 where the bytes are no UTF-8 text, not_found where there are none."""
+    """``files`` with raw (text) and skip_reason: the error of reading, not_found where there are no bytes, not_utf8 where they are no text."""
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    reason = F.when(F.col("content").isNull(), "not_found").when(text.isNull(), "not_utf8")
-    return files.withColumn("skip_reason", reason).withColumn("raw", text).drop("content")
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    reason = F.coalesce(error, F.when(F.col("content").isNull(), "not_found").when(text.isNull(), "not_utf8"))
+    return files.withColumn("skip_reason", reason).withColumn("raw", text).drop("content", "error")
 
 
 def skip_counts(prepared: DataFrame) -> DataFrame:
@@ -164,6 +239,6 @@ def read_collection(spark: SparkSession, name: str, root: str, pattern: str | No
 
 
 def total_size(spark: SparkSession, root: str) -> DataFrame:
-    """One row: the number of files below ``root`` and their bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """One row: the number of files below ``root`` and their bytes. No file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("length")
     return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))

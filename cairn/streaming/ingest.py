@@ -7,21 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from cairn.operators import catalog
-from cairn.sources.store import Store, now_text
+from cairn.sources.store import Store
 
 
 def upsert_stream(rows: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
     """Upsert a stream of (collection, path, title, text, raw) into the store, batch by batch, until what is there is taken in.
 
-    A batch that is repeated after a failure changes nothing more: content is keyed by hash and documents by (collection, path).
+    A batch that is repeated after a failure changes nothing more: content is keyed by hash and documents by (collection, path). What a
+    batch writes is in proportion to it; merge the parts now and then by :meth:`Store.compact`.
     """
 
     def take(batch: DataFrame, _: int) -> None:
         good = catalog.with_hash(batch).persist()
-        now = now_text()
-        content = store.table("content")
-        store.publish("content", content.unionByName(catalog.new_content(content, good.select("hash", F.col("raw").alias("doc"), F.lit(now).alias("created_at")))))
-        store.publish("documents", catalog.upsert_documents(store.table("documents"), good, now))
+        store.take_in(good)
         good.unpersist()
 
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
