@@ -162,21 +162,22 @@ def _stars(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Round by round every bucket gets a centre; leaves unlike it stay for the next round.
     """
-    rows = sigs.select(F.explode("bands").alias("band"), "cls").withColumn("p", F.xxhash64("cls", "band"))
+    rows, priority = sigs.select(F.explode("bands").alias("band"), "cls"), F.xxhash64("cls", "band")
     stars: list[DataFrame] = []
     settled: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
         # the sums of a bucket are exchanged without its members; most buckets have one member and go no further
-        full = rows.groupBy("band").agg(F.min(F.struct("p", "cls")).alias("least"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-        held = rows.join(full.select("band", "size", F.col("least.cls").alias("centre")), "band")
-        leaves = cut(held.where(F.col("cls") != F.col("centre")).select("band", "cls", "p", "centre", "size"))
+        full = rows.groupBy("band").agg(F.min(priority).alias("least"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+        held = cut(rows.join(full, "band"))
+        centres = held.where(priority == F.col("least")).select("band", F.col("cls").alias("centre")).distinct()
+        leaves = cut(held.join(centres, "band").where(F.col("cls") != F.col("centre")).select("band", "cls", "centre", "size"))
         edges = cut(_alike(leaves.select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), sigs))
         stars.append(edges)
         unlike = edges.where(F.col("alike") < LINKED).select(F.col("a").alias("centre"), F.col("b").alias("cls"))
-        left = cut(leaves.join(unlike, ["centre", "cls"], "left_semi").select("band", "cls", "p", "size"))
+        left = cut(leaves.join(unlike, ["centre", "cls"], "left_semi").select("band", "cls", "size"))
         few = left.limit(FEW + 1).count() <= FEW
         settled.append(_within(left if few else left.where(F.col("size") <= SMALL)))
-        rows = left.where(F.col("size") > SMALL).select("band", "cls", "p")
+        rows = left.where(F.col("size") > SMALL).select("band", "cls")
         if few or rows.isEmpty():
             break
     else:  # what no centre was like, exactly
