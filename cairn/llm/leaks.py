@@ -2,15 +2,20 @@
 
 Words become a template: numbers, units and names turn into typed placeholders, other words stay. The type follows from the
 lower-cased word alone, so equal words have equal templates: a word with a digit is a number; a word of the list of units is a
-unit; a word that the passages write in lower case somewhere stays; any other word is a name. Windows of the template are
-hashed; corpus windows meet the passages' windows in an equi join on the hash. Slots decide what a meeting means: all words
-equal is a verbatim window; slots replaced one to one is a re-parameterised one. A window of very many slots needs the words around
-it as well.
+unit; a word stays that the passages write in lower case somewhere, or with a capital only where a sentence begins; any other word
+is a name. Windows of the template are hashed; corpus windows meet the passages' windows in an equi join on the hash. Slots decide
+what a meeting means: all words equal is a verbatim window; slots replaced one to one is a re-parameterised one. A window of very
+many slots needs the words around it as well.
+
+What every task must know of the passages, which words stay and which hashes occur, is sent in two bit sets of fixed size, whatever
+the number of items. A word that is taken for one that stays by chance of its bits (about one in 1e4 at half a million words) is
+taken so everywhere; a window that passes by chance meets nothing in the join.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairn.functions.text import raw_words
 from cairn.plans.arrow import sliced
+from cairn.plans.lineage import cut
+from cairn.plans.skew import salted_join
 from cairn.plans.spread import spread
 
 WINDOW = 13
@@ -32,9 +38,11 @@ UNITS = (
     "ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years "
     "percent pct degree degrees celsius fahrenheit volt volts watt watts byte bytes kb mb gb tb euro euros dollar dollars cent cents unit units row rows page pages"
 ).split()
-#: Most words of the passages that may keep their own place in a template (others count as names), most passage windows for
-#: which the hashes are sent to every task beforehand, and most for which the join itself is a broadcast.
-MAX_WORDS, MAX_AHEAD, MAX_BROADCAST = 500_000, 2_000_000, 200_000
+#: Bits of the sets of words and of windows (2 and 32 MB), and bits set by each member.
+WORD_BITS, WINDOW_BITS, MARKS = 1 << 24, 1 << 28, 3
+#: Up to so many passage windows few others pass, and words go along with what passes; beyond, only places are exchanged and words are
+#: fetched for those that met. Up to so many the join is a broadcast.
+MAX_AHEAD, MAX_BROADCAST = 20_000_000, 200_000
 #: A re-parameterised window may have at most so many slots: others say too little alone, and are held against the windows that
 #: adjoin them, up to REACH words to each side.
 MAX_SLOTS, REACH = 6, 2 * WINDOW
@@ -54,17 +62,70 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+class BitSet:
+    """A set of 64-bit hashes in a fixed number of bits; members are always found, others rarely."""
+
+    CHUNK = 1 << 16  # bytes
+
+    def __init__(self, bits: int, chunks: dict[int, bytes]):
+        self.bits = bits
+        self.packed = np.zeros(bits // 8, dtype=np.uint8)
+        for at, blob in chunks.items():
+            part = np.frombuffer(zlib.decompress(blob), dtype=np.uint8)
+            self.packed[at * self.CHUNK : at * self.CHUNK + len(part)] = part
+
+    def __getstate__(self) -> tuple[int, bytes]:
+        return self.bits, zlib.compress(self.packed.tobytes(), 1)
+
+    def __setstate__(self, state: tuple[int, bytes]) -> None:
+        self.bits = state[0]
+        self.packed = np.frombuffer(zlib.decompress(state[1]), dtype=np.uint8)
+
+    @staticmethod
+    def places(h: np.ndarray, bits: int, i: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((h + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) & np.uint64(bits - 1)).astype(np.int64)
+
+    def among(self, h: np.ndarray) -> np.ndarray:
+        """Positions in ``h`` of what passes."""
+        at = np.arange(len(h))
+        for i in range(MARKS):
+            p = self.places(h[at], self.bits, i)
+            at = at[(self.packed[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0]
+        return at
+
+    @classmethod
+    def of(cls, hashes: DataFrame, bits: int) -> BitSet:
+        """The set of the column h. Each piece is made in a task of its own; the driver puts the pieces, compressed, side by side."""
+
+        def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                p = np.concatenate([cls.places(h, bits, i) for i in range(MARKS)])
+                yield pa.RecordBatch.from_arrays([pa.array((p // (8 * cls.CHUNK)).astype(np.int32)), pa.array((p % (8 * cls.CHUNK)).astype(np.int32))], names=["chunk", "bit"])
+
+        def pack(table: pa.Table) -> pa.Table:
+            marks = np.zeros(8 * cls.CHUNK, dtype=bool)
+            marks[table.column("bit").to_numpy()] = True
+            return pa.table({"chunk": table.column("chunk").slice(0, 1), "bits": pa.array([zlib.compress(np.packbits(marks, bitorder="little").tobytes())], pa.binary())})
+
+        places = hashes.select("h").mapInArrow(spread_out, "chunk int, bit int").distinct()
+        return cls(bits, {r.chunk: bytes(r.bits) for r in places.groupBy("chunk").applyInArrow(pack, "chunk int, bits binary").collect()})  # at most bits / 8 bytes
+
+
 class Codes(dict):
     """Code of each word in a template; unknown words are looked at once."""
 
-    def __init__(self, own: list[str]):
-        super().__init__({w: np.uint64(xxhash.xxh3_64_intdigest(w)) for w in own})
-        self.update((w, _NUMBER) for w in own if any(c.isnumeric() for c in w))
-        self.update(dict.fromkeys(UNITS, _UNIT))
-        self.known = len(self)
+    def __init__(self, own: BitSet):
+        super().__init__(dict.fromkeys(UNITS, _UNIT))
+        self.own, self.known = own, len(self)
 
     def __missing__(self, word: str) -> np.uint64:
-        code = _NUMBER if any(c.isnumeric() for c in word) else _NAME
+        if any(c.isnumeric() for c in word):
+            code = _NUMBER
+        else:
+            h = np.array([xxhash.xxh3_64_intdigest(word)], dtype=np.uint64)
+            code = h[0] if len(self.own.among(h)) else _NAME
         if len(self) < self.known + 200_000 and len(word) <= 40:  # bounds memory only
             self[word] = code
         return code
@@ -137,56 +198,85 @@ def _judge(size: int) -> Callable:
 _SCHEMA = "hash bigint, words string, slots array<boolean>"
 
 
-def template_windows(df: DataFrame, key: str, text: str, own: list[str], size: int = WINDOW, only: np.ndarray | None = None, slots: bool = False) -> DataFrame:
+def own_words(items: DataFrame, passage: str) -> DataFrame:
+    """h: hashes of the words that stay in a template: those that the passages write in lower case somewhere, or capitalised nowhere but
+    at the beginning of a text or after an end mark and white space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = {}
+            for text in batch.column(0).to_pylist():
+                for m in _WORD.finditer(text or ""):
+                    w = m.group()
+                    low = w.lower()
+                    opens = w != low and re.search(r"(?:\A|[.!?][\"')\]]*\s)[^\w]*\Z", text[max(0, m.start() - 8) : m.start()]) is not None
+                    was = said.get(low, (False, False))
+                    said[low] = (was[0] or w == low, was[1] or (w != low and not opens))
+            h = np.array([xxhash.xxh3_64_intdigest(w) for w in said], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([a for a, _ in said.values()], pa.bool_()), pa.array([b for _, b in said.values()], pa.bool_())], names=["h", "lower", "inside"])
+
+    each = items.select(passage).mapInArrow(run, "h bigint, lower boolean, inside boolean")
+    return each.groupBy("h").agg(F.bool_or("lower").alias("lower"), F.bool_or("inside").alias("inside")).where("lower or not inside").select("h")
+
+
+def template_windows(df: DataFrame, key: str, text: str, own: BitSet, size: int = WINDOW, only: BitSet | None = None, slots: bool = False, places: bool = False, at: str | None = None) -> DataFrame:
     """Windows of ``text``: key, hash of the template, the words joined by spaces and, with ``slots``, which of them are slots.
 
     Windows of more than MAX_SLOTS slots also have ``around``, the tagged words from up to REACH words before to REACH after, and
-    ``at``, their place in it; others have null and 0.
+    ``at``, their place in it; others have null and 0. With ``places`` there are key, hash and begin (number of the first word) alone.
 
-    ``own`` are the words that stay in a template; ``only`` keeps windows with these hashes. Null, empty and shorter texts give
-    no rows.
+    ``own`` are the words that stay in a template; ``only`` keeps windows whose hash is among these, ``at`` names a column with an array
+    of the begins to keep. Null, empty and shorter texts give no rows.
     """
-    sc = df.sparkSession.sparkContext
-    shipped = sc.broadcast((own, None if only is None else np.unique(only)))
-    fields = [T.StructField("hash", T.LongType()), T.StructField("words", T.StringType()), T.StructField("around", T.StringType()), T.StructField("at", T.IntegerType())]
-    fields += ([T.StructField("slots", T.ArrayType(T.BooleanType()))] if slots else [])
+    shipped = df.sparkSession.sparkContext.broadcast((own, only))
+    if places:
+        fields = [T.StructField("hash", T.LongType()), T.StructField("begin", T.IntegerType())]
+    else:
+        fields = [T.StructField("hash", T.LongType()), T.StructField("words", T.StringType()), T.StructField("around", T.StringType()), T.StructField("at", T.IntegerType())]
+        fields += ([T.StructField("slots", T.ArrayType(T.BooleanType()))] if slots else [])
     schema = T.StructType([df.schema[key], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_, keep = shipped.value
         codes = Codes(own_)
-        if keep is not None:
-            bits = np.zeros(1 << 22, dtype=bool)
-            bits[(keep >> np.uint64(42)).astype(np.int64)] = True
         for batch in sliced(batches):
             lists = [words_of(t) for t in batch.column(1).to_pylist()]
             row, begin, h, flat = _windows(lists, codes, size)
-            if keep is not None and len(h):
-                some = np.flatnonzero(bits[(h >> np.uint64(42)).astype(np.int64)])
-                if len(keep):
-                    at = np.minimum(np.searchsorted(keep, h[some]), len(keep) - 1)
-                    some = some[keep[at] == h[some]]
+            if keep is not None:
+                some = keep.among(h)
+                row, begin, h = row[some], begin[some], h[some]
+            if at is not None:
+                wanted = [set(x or ()) for x in batch.column(2).to_pylist()]
+                some = np.array([i for i, (r, b) in enumerate(zip(row.tolist(), begin.tolist())) if b in wanted[r]], dtype=np.int64)
                 row, begin, h = row[some], begin[some], h[some]
+            columns = [batch.column(0).take(pa.array(row)), pa.array(h.view(np.int64))]
+            if places:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(begin.astype(np.int32))], names=schema.names)
+                continue
             said = [" ".join(lists[r][b : b + size]) for r, b in zip(row.tolist(), begin.tolist())]
             before = np.concatenate(([0], np.cumsum(np.isin(flat, _SLOTS))))
             first = np.concatenate(([0], np.cumsum([len(x) for x in lists])))[row].astype(np.int64) + begin
             many = (before[first + size] - before[first] > MAX_SLOTS).tolist()
-            places = [min(b, REACH) if m else 0 for b, m in zip(begin.tolist(), many)]
-            around = [_tagged(lists[r][b - p : b + size + REACH], codes) if m else None for r, b, p, m in zip(row.tolist(), begin.tolist(), places, many)]
-            columns = [batch.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(said, pa.string()), pa.array(around, pa.string()), pa.array(places, pa.int32())]
+            where = [min(b, REACH) if m else 0 for b, m in zip(begin.tolist(), many)]
+            around = [_tagged(lists[r][b - p : b + size + REACH], codes) if m else None for r, b, p, m in zip(row.tolist(), begin.tolist(), where, many)]
+            columns += [pa.array(said, pa.string()), pa.array(around, pa.string()), pa.array(where, pa.int32())]
             if slots:
                 placeholders = [[bool(codes[w] in (_NUMBER, _UNIT, _NAME)) for w in lists[r][b : b + size]] for r, b in zip(row.tolist(), begin.tolist())]
                 columns.append(pa.array(placeholders, pa.list_(pa.bool_())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return spread(df.select(key, text)).mapInArrow(run, schema)
+    return spread(df.select(key, text, *([at] if at else []))).mapInArrow(run, schema)
 
 
-def own_words(items: DataFrame, passage: str, most: int = MAX_WORDS) -> list[str]:
-    """Words that the passages write in lower case somewhere; of more than ``most`` those in most places."""
-    each = items.select(F.explode(raw_words(F.col(passage))).alias("w")).where((F.col("w") == F.lower("w")) & ~F.col("w").isin(UNITS))
-    top = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    return [r[0] for r in top.collect()]
+def _held(documents: DataFrame, key: str, text: str, own: BitSet, size: int, asked: DataFrame, only: BitSet, ahead: bool) -> DataFrame:
+    """The documents' windows that may meet one of ``asked``, with their words."""
+    if ahead:
+        return template_windows(documents, key, text, own, size, only)
+    # places first: what meets nothing is never exchanged with its words
+    places = template_windows(documents, key, text, own, size, only, places=True)
+    met = cut(places.join(asked.select(F.col("h").alias("hash")).distinct(), "hash", "left_semi"))
+    begins = met.groupBy(key).agg(F.collect_set("begin").alias("_begins"))  # at most the windows of the text beside it
+    return template_windows(documents.select(key, text).join(begins, key), key, text, own, size, at="_begins")
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", size: int = WINDOW) -> DataFrame:
@@ -202,14 +292,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
       named ones are read (``key`` and ``item`` must differ in name);
     * every document is read whole. Passages too many to broadcast meet the documents by a shuffled join.
     """
-    own = own_words(items, passage)
-    asked = template_windows(items, item, passage, own, size, slots=True).withColumnsRenamed({"words": "asked", "hash": "h", "around": "_asked", "at": "_begin"})
+    own = BitSet.of(own_words(items, passage), WORD_BITS)
+    asked = cut(template_windows(items, item, passage, own, size, slots=True).withColumnsRenamed({"words": "asked", "hash": "h", "around": "_asked", "at": "_begin"}))
     n = asked.count()
-    only = None
-    if n <= MAX_AHEAD:
-        only = np.array([r[0] for r in asked.select("h").distinct().collect()], dtype=np.int64).view(np.uint64)
-    held = template_windows(documents, key, text, own, size, only).withColumnsRenamed({"around": "_held", "at": "_at"})
-    met = held.join(F.broadcast(asked) if n <= MAX_BROADCAST else asked, held["hash"] == asked["h"])
+    held = _held(documents, key, text, own, size, asked, BitSet.of(asked.select("h").distinct(), WINDOW_BITS), n <= MAX_AHEAD).withColumnsRenamed({"around": "_held", "at": "_at"})
+    if n <= MAX_BROADCAST:
+        met = held.join(F.broadcast(asked), held["hash"] == asked["h"])
+    else:
+        met = salted_join(held, asked.withColumnRenamed("h", "hash"), "hash", key)
     pairs = F.filter(F.arrays_zip(F.split("words", " ").alias("a"), F.split("asked", " ").alias("b"), F.col("slots").alias("s")), lambda x: x.s | (x.a != x.b))
     named = lambda f: F.array_distinct(F.transform("_slots", f))
     one_to_one = (F.size(named(lambda x: x.a)) == F.size(named(lambda x: F.struct(x.a, x.b)))) & (F.size(named(lambda x: x.b)) == F.size(named(lambda x: F.struct(x.a, x.b))))
