@@ -4,7 +4,8 @@ A text may mix HTML, Markdown, wiki markup and LaTeX. Code is set aside first an
 part is chosen by composite text density: for every node the characters per tag, adjusted for the characters and tags inside
 links; the density of a page's body and of the nodes on the way to the node with the largest sum of its children's densities
 gives a threshold, and within every node that reaches it the subtree of largest sum is taken and the text that stands directly in
-the node, wherever in the page. Code is always kept, and so are headings, lists and tables next to something kept. Headings come
+the node, wherever in the page. Code is always kept, and so are headings, lists and tables next to something kept. A fragment
+without a page around it loses only blocks of links whose density doesn't reach the threshold. Headings come
 out as ``#`` lines, list items as ``- `` lines, code as fenced blocks or between backticks, formulas as written, table rows as
 cells joined by `` | ``.
 """
@@ -278,6 +279,24 @@ def _main_parts(tree: _Tree) -> list[tuple[int, int]]:
     return list(zip(edges[::2], edges[1::2])) or [(body.begin, body.end)]
 
 
+def _without_menus(tree: _Tree) -> list[tuple[int, int]]:
+    """Spans of a fragment without its menus: blocks of several links that hold more text inside links than outside, and whose density,
+    which the links lower, is below the least on the way to the node of largest sum."""
+    _measure(tree, tree.root)
+    best = max(tree.nodes, key=lambda n: n.total)
+    least, node = best.density, best
+    while node is not None:
+        least = min(least, node.density)
+        node = node.parent
+    spans, at = [], 0
+    for n in tree.nodes:  # in document order; what lies in a dropped node ends before it
+        if n is not tree.root and n.begin >= at and n.tag in _APART and n.link_tags >= 3 and 2 * n.link_chars > n.chars and n.density < least:
+            spans.append((at, n.begin))
+            at = n.end
+    spans.append((at, len(tree.events)))
+    return spans
+
+
 def _render(tree: _Tree, parts: list[tuple[int, int]]) -> str:
     """Text of the spans ``parts``; the blocks, lists and tables that they lie in keep their form."""
     keep = bytearray(len(tree.events))
@@ -369,7 +388,7 @@ def _from_html(text: str) -> str:
         tree.feed(re.sub(r"<(?!/?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>)(?!![A-Za-z])", "&lt;", text))
         tree.done()
         page = any(n.tag in ("body", "html") for n in tree.nodes)
-        return _render(tree, _main_parts(tree) if page else [(0, len(tree.events))])
+        return _render(tree, _main_parts(tree) if page else _without_menus(tree))
     return html.unescape(text) if "&" in text else text
 
 
@@ -406,6 +425,32 @@ def _from_wiki(text: str) -> str:
     return re.sub(r"'{2,5}", "", text) if "''" in text else text
 
 
+_OPENING = re.compile(r"(\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{)|([{}])")
+
+
+def _bare_commands(text: str) -> str:
+    """Commands with a braced argument become the argument, however deep they stand in one another, in one pass.
+
+    Braces without a command stay, as do commands whose brace isn't closed.
+    """
+    out, opened, at = [], [], 0
+    for m in _OPENING.finditer(text):
+        out.append(text[at : m.start()])
+        at = m.end()
+        if m[0] != "}":
+            opened.append((len(out), bool(m[1])))  # where the opening stands, to be dropped if it is closed
+            out.append(m[0])
+        elif opened:
+            place, command = opened.pop()
+            if command:
+                out[place] = ""
+            else:
+                out.append("}")
+        else:
+            out.append("}")
+    return "".join(out) + text[at:]
+
+
 def _from_latex(text: str) -> str:
     if "\\" not in text:
         return text
@@ -413,10 +458,7 @@ def _from_latex(text: str) -> str:
     text = re.sub(r"[ \t]*\\item(?![A-Za-z])(?:\[([^\]\n]*)\])?[ \t]*", lambda m: "- " + (m[1] + " " if m[1] else ""), text)
     text = re.sub(r"\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\]|\{[^{}\n]*\})*\n?", "", text)
     text = re.sub(r"~?\\(?:label|ref|eqref|pageref|cite[a-z]*|vspace|hspace|usepackage|documentclass|bibliography|input|include)\*?(?:\[[^\]\n]*\])?\{[^{}\n]*\}", "", text)
-    for _ in range(8):  # commands within commands, from the inside
-        text, n = re.subn(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)
-        if not n:
-            break
+    text = _bare_commands(text)
     return re.sub(r"\\([%&_#$])", r"\1", text)
 
 

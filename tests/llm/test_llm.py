@@ -249,6 +249,52 @@ def test_leaks_without_broadcast(spark, monkeypatch):
 
 # ---------------------------------------------------------------- 5: markup
 
+def page(rng, whole):
+    """A seeded page or fragment: HTML, and the words planted in its main text and in its boilerplate."""
+    number = iter(range(10**6))
+    main, rest = set(), set()
+
+    def words(n, into):
+        made = [f"{'m' if into is main else 'b'}{next(number)}x{int(rng.integers(0, 99))}" for _ in range(n)]
+        into.update(made)
+        return " ".join(made)
+
+    links = lambda n: "<ul>" + "".join(f'<li><a href="/{i}">{words(int(rng.integers(1, 4)), rest)}</a></li>' for i in range(n)) + "</ul>"
+    parts = []
+    for _ in range(int(rng.integers(3, 7))):
+        parts.append(f"<h2>{words(4, main)}</h2>")
+        parts += [f"<p>{words(int(rng.integers(25, 90)), main)}, <a href=x>{words(2, main)}</a> {words(9, main)}.</p>" for _ in range(int(rng.integers(1, 4)))]
+        kind = int(rng.integers(0, 3))
+        if kind == 0:
+            parts.append("<ul>" + "".join(f"<li>{words(int(rng.integers(4, 12)), main)}</li>" for _ in range(4)) + "</ul>")
+        elif kind == 1:
+            parts.append(f"<pre><code>{words(12, main)}</code></pre>")
+    body = f"<nav>{links(int(rng.integers(4, 12)))}</nav><article>{''.join(parts)}</article><aside>{links(int(rng.integers(3, 9)))}</aside>"
+    if whole:
+        body = f"<html><head><title>t</title><style>p {{}}</style></head><body><header><a href=/>{words(2, rest)}</a></header><div>{body}</div><footer>{links(4)}<p>{words(3, rest)}</p></footer></body></html>"
+    return body, main, rest
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_main_text_is_found_among_boilerplate(whole):
+    rng, kept, right, wanted = np.random.default_rng(12), 0, 0, 0
+    for _ in range(60):
+        text, main, rest = page(rng, whole)
+        kinds, clean = markup.clean_text(text)
+        out = set(re.findall(r"[mb]\d+x\d+", clean))
+        assert kinds == ["html"]
+        kept, right, wanted = kept + len(out), right + len(out & main), wanted + len(main)
+    print(f"precision {right / kept:.4f}, recall {right / wanted:.4f}")
+    assert right >= 0.95 * kept and right >= 0.95 * wanted
+
+
+def test_nested_commands_and_fragments():
+    clean = lambda t: markup.clean_text(t)[1]
+    assert clean("\\emph{a \\textbf{b \\x{c} {d}} e} \\foo{ open") == "a b c {d} e \\foo{ open" and clean("\\a{" * 20_000 + "x" + "}" * 20_000) == "x"
+    short = "<p>Ok.</p><ul><li>one</li></ul><p>See <a href=x>here</a>.</p>"
+    assert clean(short) == "Ok.\n\n- one\n\nSee here." and "Home" in clean("<ul><li><a>Home</a></li><li><a>About</a></li><li><a>More</a></li></ul>")
+
+
 KINDS = {
     "plain text, a < b and c > d, 5 * 3 * 2, snake_case_name, $5 and $6, a_b": [], "<p>x</p>": ["html"], "x<br/>y": ["html"], "a &amp; b": ["html"], "&#233;": ["html"], "<!-- c -->": ["html"], "Vec<T>": ["html"], "a <- b << c": [],
     "== Title ==": ["wiki"], "==Title==": [], "see [[a|b]]": ["wiki"], "''x''": ["wiki"], "{{note}}": ["wiki"], "{| class=x\n|}": ["wiki"],
