@@ -6,12 +6,16 @@ hits are so strong that expansion is needless is a join in that plan, not a ques
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.chunking import best_chunks, chunks
 from cairn.functions.query_language import expansion_prompt, parse_expansion, parse_query
 from cairn.functions.scalars import collection_of, docid, file_uri, filepath, path_of, query_terms
+from cairn.operators.catalog import with_dense_ids
 from cairn.operators.filters import active
 from cairn.operators.fulltext import StoredIndex, search, strong_signal
 from cairn.operators.fusion import blend, fuse
@@ -19,6 +23,8 @@ from cairn.operators.vectors import vsearch
 from cairn.plans.lineage import cut
 from cairn.schemas import WEIGHT_ORIGINAL, WEIGHT_OTHER, pool_size
 
+#: Searches of a batch that may be broadcast.
+MAX_SEARCHES = 200_000
 _SUB = "query_id bigint, sub_id bigint, list_id int, qtype string, weight double, text string"
 
 
@@ -40,6 +46,24 @@ def plan_searches(spark: SparkSession, queries: list[tuple[int, str]], intents:
     return spark.createDataFrame(subs, _SUB), spark.createDataFrame(heads, "query_id bigint, query string, intent string, expand string")
 
 
+def _expansions(asked: DataFrame, backend) -> DataFrame:
+    """query_id, qtype and text of what the backend makes of each query to expand."""
+
+    def prompts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [expansion_prompt(text, intent) for text, intent in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=["query_id", "prompt"])
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(q, kind, text) for q, answer in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for kind, text in parse_expansion(answer)]
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["query_id", "qtype", "text"])
+
+    asking = asked.select("query_id", "expand", "intent").mapInArrow(prompts, "query_id bigint, prompt string")
+    return cut(backend.generate(asking, "prompt", "answer").select("query_id", "answer")).mapInArrow(parsed, "query_id bigint, qtype string, text string")
+
+
 def ranked_lists(searches: DataFrame, documents: DataFrame, vectors: DataFrame, backend, pool: int, scope: DataFrame | None, index: StoredIndex | None = None) -> DataFrame:
     """A list (query_id, list_id, list_source, query_type, weight, filepath, backend_score) from each search."""
     allowed = active(documents) if scope is None else active(documents).join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -53,7 +77,7 @@ def ranked_lists(searches: DataFrame, documents: DataFrame, vectors: DataFrame,
         found = found.unionByName(hits.select("sub_id", "filepath", F.col("score").alias("backend_score")))
     kind = F.when(F.col("weight") == WEIGHT_ORIGINAL, F.lit("original")).otherwise(F.col("qtype"))
     source = F.when(F.col("qtype") == "lex", "fts").otherwise(F.col("qtype"))
-    return found.join(F.broadcast(meta), "sub_id").select("query_id", "list_id", source.alias("list_source"), kind.alias("query_type"), "weight", "filepath", "backend_score")  # a request's searches
+    return found.join(F.broadcast(meta) if meta.limit(MAX_SEARCHES + 1).count() <= MAX_SEARCHES else meta, "sub_id").select("query_id", "list_id", source.alias("list_source"), kind.alias("query_type"), "weight", "filepath", "backend_score")
 
 
 def hybrid_search(
@@ -73,16 +97,12 @@ def hybrid_search(
     if expand and (expansions is not None or backend.can_generate):
         asked = heads.where(F.col("expand").isNotNull() & (F.col("expand") != ""))
         if expansions is None:
-            prompts = spark.createDataFrame([(r.query_id, expansion_prompt(r.expand, r.intent)) for r in asked.collect()], "query_id bigint, prompt string")  # a request
-            answers = backend.generate(prompts, "prompt", "answer").select("query_id", "answer").collect()
-            made = [(r.query_id, kind, text) for r in answers for kind, text in parse_expansion(r.answer)]
-            expansions = spark.createDataFrame(made, "query_id bigint, qtype string, text string")
+            expansions = _expansions(asked, backend)
         probe = search(documents, asked.select("query_id", F.col("expand").alias("query")), 2, scope, index=index)
         weak = asked.select("query_id").join(strong_signal(probe).where("strong"), "query_id", "left_anti")
-        more = expansions.join(weak, "query_id", "left_semi").orderBy("query_id", "qtype", "text").collect()  # a request's expansions
-        rows = [(r.query_id, 1_000_000 + i, 100 + i, r.qtype, WEIGHT_OTHER, r.text) for i, r in enumerate(more)]
-        if rows:
-            lists = lists.unionByName(ranked_lists(spark.createDataFrame(rows, _SUB), documents, vectors, backend, pool, scope, index))
+        more = with_dense_ids(cut(expansions.join(weak, "query_id", "left_semi").select("query_id", "qtype", "text")), ["query_id", "qtype", "text"], "i")
+        rows = more.select("query_id", (F.lit(1_000_000) + F.col("i")).alias("sub_id"), (F.lit(100) + F.col("i")).cast("int").alias("list_id"), "qtype", F.lit(WEIGHT_OTHER).alias("weight"), "text")
+        lists = lists.unionByName(ranked_lists(cut(rows), documents, vectors, backend, pool, scope, index))
     fused = cut(fuse(lists, pool))
     about = active(documents).select("doc_id", filepath(F.col("collection"), F.col("path")).alias("filepath"), "title", "hash")
     # texts are fetched for the candidates only: at most 100 a query

@@ -120,12 +120,12 @@ def _blocked_search(mine: DataFrame, asked: DataFrame, names: list[str], schema:
     return left.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInArrow(meet, schema)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, group: str = "vid", key: str = "query_id", dim: int = 64, digits: int = 6, not_own: bool = False, block: int = BLOCK, part: int = PART) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, group: str = "vid", key: str = "query_id", dim: int = 64, digits: int = 6, not_own: bool = False, block: int = BLOCK, part: int = PART, ties: bool = False) -> DataFrame:
     """key, group, score and rank: of each query the ``k`` groups with the highest cosine of any pair of their vectors.
 
     ``vectors`` has group and embedding, ``queries`` has key and embedding, several rows a key if it has several vectors. Scores
     are rounded to ``digits``, ties go to the smaller group. Unusable vectors and null keys or groups take no part; ``not_own``
-    leaves out the group equal to the key. Empty inputs give no rows. Up to ``block`` query vectors are broadcast; more meet the
+    leaves out the group equal to the key; ``ties`` keeps all groups that are as good as the last. Empty inputs give no rows. Up to ``block`` query vectors are broadcast; more meet the
     vectors in blocks, each with ``part`` vectors.
     """
     asked = usable(queries, dim=dim).where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key), "embedding")
@@ -138,19 +138,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, group: str = "vid",
     else:
         found = _blocked_search(mine, asked, names, schema, k, dim, not_own, -(-total // block), -(-mine.count() // part) or 1)
     best = found.groupBy(key, group).agg(F.round(F.max("score"), digits).alias("score"))
+    if ties:
+        return best.withColumn("rank", F.rank().over(Window.partitionBy(key).orderBy(F.desc("score"))).cast("bigint")).where(F.col("rank") <= k)
     order = Window.partitionBy(key).orderBy(F.desc("score"), group)
     return best.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= k)
 
 
-def document_vectors(vectors: DataFrame, documents: DataFrame) -> DataFrame:
-    """filepath and embedding of every vector of every active document. A shared hash gives its vectors to each document."""
-    about = active(documents).select("hash", filepath(F.col("collection"), F.col("path")).alias("filepath"))
-    return vectors.select("hash", "embedding").join(about, "hash").select("filepath", "embedding")
+def nearest_documents(vectors: DataFrame, documents: DataFrame, queries: DataFrame, k: int, key: str, dim: int) -> DataFrame:
+    """key, filepath and score of the ``k`` best active documents of each query, and of others as good as the last content.
+
+    Contents are searched, each once however many documents share it; the best are then given their documents, of which the first ``k``
+    by filepath can count.
+    """
+    places = active(documents).select("hash", filepath(F.col("collection"), F.col("path")).alias("filepath")).where(F.col("hash").isNotNull())
+    order = Window.partitionBy("hash").orderBy("filepath")
+    first = places.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+    mine = vectors.select("hash", "embedding").join(places.select("hash").distinct(), "hash", "left_semi")
+    return nearest(mine, queries, k, "hash", key, dim, ties=True).join(first, "hash").select(key, "filepath", "score")
 
 
 def vsearch(vectors: DataFrame, documents: DataFrame, queries: DataFrame, limit: int, key: str = "query_id", dim: int = 64) -> DataFrame:
     """key, filepath, score and rank: the ``limit`` documents in scope (``documents``) whose best chunk is most like the query."""
-    return nearest(document_vectors(vectors, documents), queries, limit, "filepath", key, dim)
+    found = nearest_documents(vectors, documents, queries, limit, key, dim)
+    order = Window.partitionBy(key).orderBy(F.desc("score"), "filepath")
+    return found.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= limit)
 
 
 def source_chunks(vectors: DataFrame, most: int = SIMILAR_CHUNKS) -> DataFrame:
@@ -166,7 +177,7 @@ def similar(vectors: DataFrame, documents: DataFrame, sources: DataFrame, limit:
     """
     mine = sources.select("doc_id", "hash", filepath(F.col("collection"), F.col("path")).alias("_own"))
     queries = source_chunks(vectors.join(mine.select("hash").distinct(), "hash", "left_semi")).join(mine, "hash").select("doc_id", "embedding")
-    found = nearest(document_vectors(vectors, documents), queries, limit + 1, "filepath", "doc_id", dim)
+    found = nearest_documents(vectors, documents, queries, limit + 1, "doc_id", dim)
     rest = found.join(mine.select("doc_id", "_own"), "doc_id").where(F.col("filepath") != F.col("_own"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "filepath")
     return rest.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= limit).select("doc_id", "filepath", "score", "rank")

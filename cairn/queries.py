@@ -253,7 +253,7 @@ def needle_match(spark, d):
     return filters.by_needles(_docs(spark, d), ["the.md", "the-plan.md", least]).select("doc_id")
 
 
-@query(f"select doc_id from documents where {_LIVE} and (regexp_matches({_FP}, '(?s)^(home|runbooks)/.*-plan-[a-m].*[.]md$')")
+@query(f"select doc_id from documents where {_LIVE} and regexp_matches({_FP}, '(?s)^(home|runbooks)/.*-plan-[a-m].*[.]md$')")
 def glob_match(spark, d):
     return filters.by_glob(_docs(spark, d), "{home,runbooks}/*-plan-[a-m]*.md").select("doc_id")
 
@@ -424,6 +424,22 @@ def hit_at_k(spark, d):
     return evaluate.hit_rates(results, expected)
 
 
+@query(f"""
+select doc_id, case when collection = 'memos' then 'changed ' else '' end || coalesce(hash, 'none') as version, case when collection in ('memos', 'specs') then 2 else 1 end as run
+from documents
+""")
+def incremental_resume(spark, d):
+    """A target after a run without a collection, a run that died on new and changed records, and its repetition."""
+    docs = _docs(spark, d).select("doc_id", "collection", F.coalesce("hash", F.lit("none")).alias("version"))
+    target = incremental.VersionedTarget(spark, f"{shared_dir(spark)}/cairn-target-{uuid.uuid4().hex}", ["doc_id"])
+    target.run(docs.where("collection <> 'specs'"), ["doc_id"], "version", lambda new: new.select("doc_id", "version", F.lit(1).alias("run")))
+    changed = docs.withColumn("version", F.when(F.col("collection") == "memos", F.concat(F.lit("changed "), "version")).otherwise(F.col("version")))
+    half_done = target._write(changed.select("doc_id", "version", F.lit(9).alias("run")), "2")  # written, never published
+    target.run(changed, ["doc_id"], "version", lambda new: new.select("doc_id", "version", F.lit(2).alias("run")))
+    assert half_done not in {f for p in target.manifest(2) for f in p.values()}
+    return target.current().select("doc_id", "version", "run")
+
+
 # ---------------------------------------------------------------- vectors and fusion
 
 _VECTORS = """
