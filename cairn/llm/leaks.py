@@ -41,8 +41,8 @@ UNITS = (
 #: Bits of the sets of words and of windows (2 and 32 MB), and bits set by each member.
 WORD_BITS, WINDOW_BITS, MARKS = 1 << 24, 1 << 28, 3
 #: Up to so many passage windows few others pass, and words go along with what passes; beyond, only places are exchanged and words are
-#: fetched for those that met. Up to so many the join is a broadcast.
-MAX_AHEAD, MAX_BROADCAST = 20_000_000, 200_000
+#: fetched for those that met.
+MAX_AHEAD = 20_000_000
 #: A re-parameterised window may have at most so many slots: others say too little alone, and are held against the windows that
 #: adjoin them, up to REACH words to each side.
 MAX_SLOTS, REACH = 6, 2 * WINDOW
@@ -290,16 +290,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     * null and empty texts or passages, and those of fewer than ``size`` words, leak nothing;
     * repeated rows of a key or item add up; empty tables give no rows; columns of equal names don't clash, since only the four
       named ones are read (``key`` and ``item`` must differ in name);
-    * every document is read whole. Passages too many to broadcast meet the documents by a shuffled join.
+    * every document is read whole; nothing that grows with the passages is sent to every task.
     """
     own = BitSet.of(own_words(items, passage), WORD_BITS)
     asked = cut(template_windows(items, item, passage, own, size, slots=True).withColumnsRenamed({"words": "asked", "hash": "h", "around": "_asked", "at": "_begin"}))
     n = asked.count()
-    held = _held(documents, key, text, own, size, asked, BitSet.of(asked.select("h").distinct(), WINDOW_BITS), n <= MAX_AHEAD).withColumnsRenamed({"around": "_held", "at": "_at"})
-    if n <= MAX_BROADCAST:
-        met = held.join(F.broadcast(asked), held["hash"] == asked["h"])
-    else:
-        met = salted_join(held, asked.withColumnRenamed("h", "hash"), "hash", key)
+    held = _held(documents, key, text, own, size, asked, BitSet.of(asked.select("h").distinct(), WINDOW_BITS), n <= MAX_AHEAD)
+    # little passes the set, so the join exchanges little on either side
+    met = salted_join(cut(held.withColumnsRenamed({"around": "_held", "at": "_at"})), asked.withColumnRenamed("h", "hash"), "hash", key)
     pairs = F.filter(F.arrays_zip(F.split("words", " ").alias("a"), F.split("asked", " ").alias("b"), F.col("slots").alias("s")), lambda x: x.s | (x.a != x.b))
     named = lambda f: F.array_distinct(F.transform("_slots", f))
     one_to_one = (F.size(named(lambda x: x.a)) == F.size(named(lambda x: F.struct(x.a, x.b)))) & (F.size(named(lambda x: x.b)) == F.size(named(lambda x: F.struct(x.a, x.b))))

@@ -239,11 +239,10 @@ def test_leaks_of_windows_dense_in_slots(spark):
     assert got == {1: (0, n), 4: (n, 0)}, got
 
 
-def test_leaks_without_broadcast(spark, monkeypatch):
+def test_leaks_by_places_first(spark, monkeypatch):
     d, e = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "eval_items"))
     want = sorted(map(tuple, leaks.find_leaks(d, e).collect()))
     monkeypatch.setattr(leaks, "MAX_AHEAD", 0)
-    monkeypatch.setattr(leaks, "MAX_BROADCAST", 0)
     assert sorted(map(tuple, leaks.find_leaks(d, e).collect())) == want and want
 
 
