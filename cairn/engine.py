@@ -9,8 +9,10 @@ from cairn.functions.backends import NoBackend
 from cairn.functions.chunking import chunks
 from cairn.functions.scalars import collection_of, docid, file_uri, path_of
 from cairn.operators import catalog, filters, fulltext, vectors
-from cairn.operators.context import with_context
+from cairn.operators.context import PREFIX as CONTEXT_PREFIX
+from cairn.operators.context import context_key, lacking_context, with_context
 from cairn.operators.hybrid import hybrid_search
+from cairn.sources.files import total_size
 from cairn.sources.store import Store
 
 class Engine:
@@ -81,7 +83,31 @@ class Engine:
         return whole.withColumn("lines", filters.numbered_lines(F.col("body"), 1, max_lines))
 
     def status(self) -> DataFrame:
-        return catalog.status(self.store.table("documents"), self.store.table("content_vectors"))
+        """One row: documents, vectors, hashes pending, the latest change, collections, indexed fields, files and bytes of the store."""
+        base = catalog.status(self.store.table("documents"), self.store.table("content_vectors"))
+        named = self.store.table("collections").agg(F.count(F.lit(1)).alias("n_collections"))
+        index = self._index()
+        fields = index.lengths().agg(F.count_distinct("doc_id").alias("n_indexed")) if index else self.store.spark.range(1).select(F.lit(0).cast("bigint").alias("n_indexed"))
+        return base.crossJoin(named).crossJoin(fields).crossJoin(total_size(self.store.spark, self.store.path))  # one row each
+
+    def _context_key(self, place: str) -> str:
+        known = self.store.table("collections").where(F.col("name") == place).select("name").limit(1).collect()
+        return context_key(place, {r.name for r in known})
+
+    def set_context(self, place: str, text: str) -> None:
+        """Describe ``/``, a URI below a collection, or a collection by name. ValueError for other places."""
+        self.store.publish("config", catalog.set_config(self.store.table("config"), self._context_key(place), text))
+
+    def remove_context(self, place: str) -> None:
+        self.store.publish("config", catalog.delete_config(self.store.table("config"), self._context_key(place)))
+
+    def contexts(self) -> DataFrame:
+        """place and text of every description, by place."""
+        rows = catalog.config_by_prefix(self.store.table("config"), CONTEXT_PREFIX)
+        return rows.select(F.substring("key", F.lit(len(CONTEXT_PREFIX) + 1), F.length("key")).alias("place"), F.col("value").alias("text"))
+
+    def lacking_context(self) -> DataFrame:
+        return lacking_context(self.store.table("collections"), self.store.table("config"))
 
     def collections(self) -> DataFrame:
         return catalog.collection_report(self.store.table("collections"), self.store.table("documents"), self.store.table("config"))

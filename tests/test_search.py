@@ -243,8 +243,14 @@ def test_store_life(spark, tmp_path):
     backend = StubBackend(16)
     store.embed(backend)
     assert store.table("content_vectors").count() == 2
-    store.publish("config", spark.createDataFrame([("context:doc://notes/", "all notes"), ("context:doc://notes/Cloud/", "cloud")], "key string, value string"))
     engine = Engine(store, backend)
+    assert [r.name for r in engine.lacking_context().collect()] == ["notes"]
+    for place, text in (("notes", "all notes"), ("doc://notes/Cloud", "cloud"), ("/", "top")):
+        engine.set_context(place, text)
+    engine.remove_context("/")
+    assert [(r.place, r.text) for r in engine.contexts().collect()] == [("doc://notes/", "all notes"), ("doc://notes/Cloud/", "cloud")]
+    with pytest.raises(ValueError):
+        engine.set_context("unknown", "x")
     hits = engine.search([(1, "widget"), (2, "pods")], limit=5).orderBy("query_id", "position").collect()
     assert [r.query_id for r in hits] == [1, 1, 1, 2] and {r.path: r.context for r in hits}["Cloud/pods.md"] == "cloud" and hits[0].file.startswith("doc://notes/")
     assert hits[-1].body.startswith("---\ntitle") and hits[-1].title == "Pods"
@@ -274,6 +280,64 @@ def test_store_life(spark, tmp_path):
     assert files.total_size(spark, str(root)).first().n_files == 6
 
 
+def test_stored_index_follows_the_documents(spark, docs, tmp_path):
+    d = docs([("n", "a.md", "Alpha", "common words alpha"), ("n", "b.md", "Beta", "common words beta beta"), ("n", "c.md", None, "other thing"), ("n", "off.md", "Off", "common", False), ("n", "e.md", "", "")])
+    index = fulltext.StoredIndex(spark, str(tmp_path / "index"))
+    assert not index.exists() and index.refresh(d) == 1 and index.refresh(d) is None
+    q = asks(spark, "common", '"words beta"', "alpha -beta", None, "")
+    rows = lambda df: sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in df.collect())
+    assert rows(fulltext.bm25_scores(d, q, index=index)) == rows(fulltext.bm25_scores(d, q)) != []
+    changed = d.where("doc_id <> 1").withColumn("title", F.when(F.col("doc_id") == 3, "Common").otherwise(F.col("title"))).withColumn("active", F.lit(True))
+    assert index.refresh(changed) == 2 and rows(fulltext.bm25_scores(changed, q, index=index)) == rows(fulltext.bm25_scores(changed, q)) != []
+    index.remove(changed.where("doc_id = 3"))
+    assert {r.doc_id for r in index.lengths().collect()} == {2, 4, 5} and index.refresh(changed) is not None
+    assert index.target.compact() and rows(fulltext.bm25_scores(changed, q, index=index)) == rows(fulltext.bm25_scores(changed, q))
+    assert index.refresh(d.limit(0)) is not None and fulltext.bm25_scores(d.limit(0), q, index=index).count() == 0
+    empty = fulltext.StoredIndex(spark, str(tmp_path / "empty"))
+    assert empty.refresh(d.limit(0)) == 1 and fulltext.bm25_scores(d.limit(0), q, index=empty).count() == 0
+
+
+def test_embedding_resumes(spark, tmp_path):
+    """A run that dies keeps the batches it published; the next one embeds what is left, and nothing twice."""
+    store = Store(spark, str(tmp_path / "index"))
+    texts = [(f"n", f"{i}.md", f"t{i}", f"text number {i}", f"text number {i}") for i in range(12)]
+    store.take_in(catalog.with_hash(spark.createDataFrame(texts, "collection string, path string, title string, text string, raw string")))
+
+    class Dying(StubBackend):
+        left = 2
+
+        def embed_passages(self, df, text, out):
+            if not Dying.left:
+                raise RuntimeError("lost")
+            Dying.left -= 1
+            return super().embed_passages(df, text, out)
+
+    with pytest.raises(RuntimeError):
+        store.embed(Dying(16), batch=4)
+    had = {r.hash: r.vid for r in store.table("content_vectors").collect()}
+    assert 0 < len(had) < 12
+    assert store.embed(StubBackend(16), batch=4) == 12 - len(had) and store.embed(StubBackend(16)) == 0
+    now = store.table("content_vectors").collect()
+    assert len(now) == 12 and len({r.vid for r in now}) == 12 and all(had.get(r.hash, r.vid) == r.vid for r in now)
+    assert store.embed(StubBackend(16), rebuild=True, batch=5) == 12 and store.table("content_vectors").count() == 12
+    store.compact()
+    assert store.table("content_vectors").count() == 12 and store.table("documents").count() == 12
+
+
+def test_files_are_listed_before_they_are_read(spark, tmp_path):
+    for name in ("a.md", "_under.md", "sub/deep/b.md", ".git/c.md", "node_modules/d.md", "e.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    listed = {r.path for r in files.listing(spark, str(tmp_path)).collect()}
+    assert listed == {"a.md", "_under.md", "sub/deep/b.md", "e.txt"}
+    assert {r.path: bytes(r.content).decode() for r in files.scan(spark, f"file://{tmp_path}").collect()} == {p: p for p in ("a.md", "_under.md", "sub/deep/b.md")}
+    assert {r.path for r in files.scan(spark, str(tmp_path), "**/*.md", allow_hidden=True).collect()} == {"a.md", "_under.md", "sub/deep/b.md", ".git/c.md"}
+    kept = spark.createDataFrame([("x", None, "permission"), ("y", bytearray(b"ok"), None), ("z", None, None)], "path string, content binary, error string")
+    assert {r.path: r.skip_reason for r in files.decoded(kept).collect()} == {"x": "permission", "y": None, "z": "not_found"}
+    with pytest.raises(FileNotFoundError):
+        files.scan(spark, str(tmp_path / "none"))
+
+
 def test_index_dir(tmp_path):
     assert index_dir("x") == "x" and index_dir(None, str(tmp_path), "/home/u") == "/home/u/.cache/cairn"
     os.makedirs(tmp_path / ".cairn" / "documents")
