@@ -27,7 +27,6 @@ from cairn.plans.spread import spread
 
 #: The public split pattern of byte_bpe_50k.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 MAX_NODES = 400_000
 #: Words kept with their ids for reuse are at most so many bytes long, so that the memory of MAX_NODES entries is bounded.
 KEPT_BYTES = 64
@@ -153,14 +152,14 @@ class TrieEncoder:
         return found
 
 
-def encode_corpus(df: DataFrame, text: str = "text", out: str = "ids", tokenizer: str = TOKENIZER, keep: list[str] | None = None) -> DataFrame:
+def encode_corpus(df: DataFrame, tokenizer: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``df`` (all but ``text`` by default) and ``out``, the ids of ``text`` without special tokens.
 
     * null and empty text give an empty list; text that looks like a special token is plain text;
     * very long texts and words are encoded whole; repeated rows each give their row; an empty table gives none;
     * extra columns pass through; a column that already bears the name ``out`` is replaced.
 
-    The vocabulary has a fixed size and is broadcast; the file is read on the driver only.
+    ``tokenizer`` is the path of the vocabulary file, which is read on the driver only. It has a fixed size and is broadcast.
     """
     kept = [c for c in (keep if keep is not None else df.columns) if c not in (text, out)]
     shipped = df.sparkSession.sparkContext.broadcast(load_merges(tokenizer))

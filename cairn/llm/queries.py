@@ -19,6 +19,10 @@ from cairn.llm.vptree import nearest_vectors, similar_pairs
 from cairn.tables import table
 
 
+#: The vocabulary file of the public tokenizer byte_bpe_50k.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(nearest_vectors(table(spark, sf_dir, "content_vectors"), k=5, least_cos=0.9))
 
@@ -70,7 +74,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_corpus(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return encode_corpus(table(spark, sf_dir, "documents"), TOKENIZER, keep=["doc_id"])
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,13 +89,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demanding(reading_level(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id")
 
 
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = reading_level(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return levels.select("doc_id", "n_words", "n_sentences", F.round("unfamiliar", 6).alias("unfamiliar"), F.round("score", 6).alias("score"))
+
+
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = reading_level(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return calibrated(levels, table(spark, sf_dir, "reading_labels")).select("doc_id", "n_words", "n_sentences", F.round("unfamiliar", 6).alias("unfamiliar"), F.round("score", 6).alias("score"), "level")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_scores, p4_found, p4_groups, p5_found, p5_clean, p6_found, p6_ranking, p7_found, p8_ids, p9_found, p9_leaks, p10_found, p10_levels)}
+    return {f.__name__: f for f in (p1_found, p1_nearest, p3_found, p3_scores, p4_found, p4_groups, p5_found, p5_clean, p6_found, p6_ranking, p7_found, p8_ids, p9_found, p9_leaks, p10_found, p10_scores, p10_levels)}
 
 
 _TERMS = r"""
@@ -182,7 +191,18 @@ with m as (
   from documents)
 select doc_id from m where words >= 60 and words >= 20 * ends and letters >= 6 * words
 """
+P10_SCORES = r"""
+with each as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}+'))) as word from documents),
+familiar as (select word from each group by word having count(*) >= 0.01 * (select count(*) from documents) order by count(*) desc, word limit 3000),
+said as (select doc_id, unnest(regexp_extract_all(text, '\p{L}+')) as word from documents),
+known as (select doc_id, count(*) as words, count(*) filter (lower(word) not in (select word from familiar)) as others from said group by doc_id),
+m as (select doc_id, coalesce(words, 0) as n_words, greatest(coalesce(len(regexp_extract_all(text, '[.!?]+(?:[ \t\r\n]|\z)')), 0), 1) as n_sentences, others / words as unfamiliar
+      from documents left join known using (doc_id))
+select doc_id, n_words, n_sentences, round(unfamiliar, 6) as unfamiliar,
+       round(unfamiliar * 100 * 0.1579 + n_words / n_sentences * 0.0496 + case when unfamiliar * 100 > 5 then 3.6365 else 0 end, 6) as score
+from m
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_scores": P3_SCORES, "p4_found": P4_FOUND, "p4_groups": P4_GROUPS, "p6_found": P6_FOUND, "p6_ranking": P6_RANKING, "p9_found": P9_FOUND, "p10_found": P10_FOUND}
+    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_scores": P3_SCORES, "p4_found": P4_FOUND, "p4_groups": P4_GROUPS, "p6_found": P6_FOUND, "p6_ranking": P6_RANKING, "p9_found": P9_FOUND, "p10_found": P10_FOUND, "p10_scores": P10_SCORES}

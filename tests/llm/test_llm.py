@@ -35,14 +35,14 @@ def test_gives_rows(name, spark):
 @pytest.fixture(scope="module")
 def library():
     tokenizers = pytest.importorskip("tokenizers")
-    t = tokenizers.Tokenizer.from_file(bpe.TOKENIZER)
+    t = tokenizers.Tokenizer.from_file(llm.TOKENIZER)
     t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
 def encoder():
-    return bpe.TrieEncoder(*bpe.load_merges(bpe.TOKENIZER))
+    return bpe.TrieEncoder(*bpe.load_merges(llm.TOKENIZER))
 
 
 def encode(encoder, text):
@@ -68,10 +68,10 @@ def test_any_text_is_encoded_like_the_library(encoder, library, text):
 def test_encoding_rows(spark, library, monkeypatch):
     rows = [(1, t, "e") for t in HARD] + [(2, None, None), (1, HARD[4], "e")]
     df = spark.createDataFrame(rows, "ids int, text string, lang string")
-    got = bpe.encode_corpus(df, keep=["lang", "ids"]).collect()
+    got = bpe.encode_corpus(df, llm.TOKENIZER, keep=["lang", "ids"]).collect()
     assert sorted(tuple(r.ids) for r in got) == sorted(tuple(library(t or "")) for _, t, _ in rows)
-    assert bpe.encode_corpus(df.limit(0)).count() == 0
-    small = bpe.TrieEncoder(*bpe.load_merges(bpe.TOKENIZER))
+    assert bpe.encode_corpus(df.limit(0), llm.TOKENIZER).count() == 0
+    small = bpe.TrieEncoder(*bpe.load_merges(llm.TOKENIZER))
     monkeypatch.setattr(bpe, "MAX_NODES", 30)
     for text in HARD:
         assert encode(small, text) == library(text)
