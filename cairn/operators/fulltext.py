@@ -12,6 +12,7 @@ ln(1 + (N - df + 0.5) / (df + 0.5)) and a phrase has the sum of its terms' idf.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -84,7 +85,7 @@ def _entries(documents: DataFrame, body: str, salts: int) -> DataFrame:
     placed = F.transform("terms", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
     none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("pos")))
     each = fields.select("doc_id", "version", "field", F.size("terms").cast("bigint").alias("len"), F.inline(F.concat(none, placed)))
-    bucket = F.when(F.col("term").isNull(), F.lit(LENGTHS)).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+    bucket = F.when(F.col("term").isNull(), F.lit(LENGTHS)).otherwise((F.crc32(F.encode("term", "UTF-8")) % BUCKETS).cast("int"))
     dealt = each.select("*", bucket.alias("bucket"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).repartition("bucket", "salt")
     held = dealt.groupBy("bucket", "salt", "term", "field", "doc_id", "version", "len").agg(F.count("term").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     return held.select(*POSTINGS.names, "salt")
@@ -130,9 +131,9 @@ class StoredIndex:
         """term, field, doc_id, tf, len, positions; of ``terms`` only, whose row groups are read and no others."""
         where = F.col("bucket") != LENGTHS
         if terms is not None:
-            at = F.array_distinct(F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))) if terms else None
-            buckets = self.spark.range(1).select(at).first()[0] if terms else []
-            where = F.col("bucket").isin(buckets) & F.col("term").isin(terms)
+            buckets = sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
+            listed = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms)  # parsed at once, not sent one by one
+            where = F.col("bucket").isin(buckets) & F.expr(f"term in ({listed})") if terms else F.lit(False)
         return self.target.current(where).select("term", "field", "doc_id", "tf", "len", "positions")
 
 
@@ -206,7 +207,9 @@ def bm25_scores(documents: DataFrame, queries: DataFrame, key: str = "query_id",
         listed = [r[0] for r in clauses.select("term").distinct().limit(MAX_TERMS + 1).collect()]
     small = F.broadcast if n <= MAX_CLAUSES else (lambda d: d)
     hits = _Hits(documents, clauses.select("term").distinct(), listed if len(listed) <= MAX_TERMS else None, body, bool(phrases), index)
-    words = hits.counts.join(F.broadcast(hits.idf) if n <= MAX_CLAUSES else hits.idf, ["field", "term"]).join(hits.stats, "field")
+    # dealt by document once, which serves the sums by term and by query; what follows grows with the queries, so it isn't coalesced
+    dealt = hits.counts.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    words = dealt.join(F.broadcast(hits.idf) if n <= MAX_CLAUSES else hits.idf, ["field", "term"]).join(hits.stats, "field")
     by_term = words.groupBy("term", "doc_id").agg(F.sum(_weight(F.col("field"), F.col("idf"))).alias("s"))
     single = clauses.where("size = 1").groupBy(key, "term", "negated").agg(F.count(F.lit(1)).alias("_m"))
     met = by_term.join(small(single), "term").select(key, "negated", "doc_id", (F.col("_m") * F.col("s")).alias("s"))
@@ -232,9 +235,11 @@ def search(documents: DataFrame, queries: DataFrame, limit: int, scope: DataFram
     scored = bm25_scores(documents, queries, key, text, body, index).withColumn("score", F.round(squashed(F.col("score")), digits))
     about = active(documents).select("doc_id", filepath(F.col("collection"), F.col("path")).alias("filepath"), "title", "hash")
     if scope is not None:
-        about = about.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
+        scored = scored.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
+    # by score alone first, so that what can't come out meets no filepath; ties with the last stay
+    best = scored.withColumn("_r", F.rank().over(Window.partitionBy(key).orderBy(F.desc("score")))).where(F.col("_r") <= limit).drop("_r")
     order = Window.partitionBy(key).orderBy(F.desc("score"), "filepath")
-    ranked = scored.join(about, "doc_id").withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= limit)
+    ranked = best.join(about, "doc_id").withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= limit)
     return ranked.select(key, "doc_id", "filepath", "title", "hash", "score", "rank")
 
 
