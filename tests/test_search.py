@@ -2,6 +2,7 @@ import json
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,53 @@ def test_scoped_vectors_and_similar(spark, docs):
     assert hit.doc_id == 2
 
 
+@pytest.fixture
+def shared_contents(spark, docs):
+    """40 contents, of which 12 have one vector and 15 have several, the first 8 each in two documents; and their unit vectors."""
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i % 3}", f"p{(i * 7) % 40:02}.md", "", f"text {i}") for i in range(40)]
+    d = docs(rows + [("b", f"copy{i}.md", "", f"text {i}") for i in range(8)])
+    x = {i: rng.normal(size=(3 if i >= 25 else 1, 8)).astype(np.float32) for i in range(40)}
+    for i in range(6, 18):
+        x[i] = x[6]
+    hashes = {r.doc_id - 1: r.hash for r in d.where("doc_id <= 40").collect()}
+    vectors_ = [(hashes[i], s, 10 * i + s, [float(v) for v in e]) for i in range(40) for s, e in enumerate(x[i])]
+    v = spark.createDataFrame(vectors_, "hash string, seq bigint, vid bigint, embedding array<float>")
+    places = {}
+    for r in d.collect():
+        places[f"{r.collection}/{r.path}"] = int(r.text.split()[1])
+    unit = {i: e.astype(float) / np.linalg.norm(e.astype(float), axis=1, keepdims=True) for i, e in x.items()}
+    return d, v, places, unit
+
+
+def _most_alike(unit, places, q, n, own=None):
+    score = {f: round(float((q @ unit[i].T).max()), 6) for f, i in places.items() if f != own}
+    return sorted(score, key=lambda f: (-score[f], f))[:n]
+
+
+def test_document_search_in_blocks(spark, shared_contents):
+    d, v, places, unit = shared_contents
+    v = v.groupBy("vid").agg(F.min(F.struct("embedding", "hash", "seq")).alias("_m")).select("vid", "_m.hash", "_m.seq", "_m.embedding")
+    q = v.where("vid % 20 = 0").select(F.col("vid").alias("query_id"), "embedding")  # of the same table as the vectors
+    for options in ({}, {"part": 9}, {"block": 3, "part": 9}, {"block": 3, "part": 500}):
+        got = vectors.vsearch(v, d, q, 10, dim=8, **options)
+        got = got.collect()
+        for key in range(0, 400, 20):
+            want = _most_alike(unit, places, unit[key // 10][:1], 10)
+            assert [r.filepath for r in sorted(got, key=lambda r: r.rank) if r.query_id == key] == want
+
+
+def test_a_task_passes_on_the_best_alone():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30_000, 8))
+    x[:9000] = x[0]  # equal vectors
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    block = vectors._block(pa.table([pa.array([0, 0, 1]), pa.array([[*map(float, x[i])] for i in (0, 10_000, 20_000)])], names=["q", "e"]), 10, 8, False, 1e-6)
+    out = list(block.best(pa.array([f"{i:05}" for i in range(30_000)]), x))
+    rows = [(k, g) for keys, groups, _ in out for k, g in zip(keys.tolist(), groups.to_pylist())]
+    assert len(rows) <= 30 and {g for k, g in rows if k == 0} >= {f"{i:05}" for i in range(9)} | {"10000"}
+
+
 def test_norms(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "e array<float>")
     assert [[round(x, 6) for x in r[0]] for r in df.select(vectors.normalized(F.col("e"))).collect()] == [[0.6, 0.8], [0.0, 0.0]]
