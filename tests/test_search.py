@@ -145,6 +145,17 @@ def test_document_search_in_blocks(spark, shared_contents):
             assert [r.filepath for r in sorted(got, key=lambda r: r.rank) if r.query_id == key] == want
 
 
+def test_similar_documents_in_blocks(spark, shared_contents):
+    d, v, places, unit = shared_contents
+    v = v.groupBy("vid").agg(F.min(F.struct("embedding", "hash", "seq")).alias("_m")).select("vid", "_m.hash", "_m.seq", "_m.embedding")
+    for options in ({}, {"block": 3, "part": 9}, {"block": 3, "part": 500}):
+        got = vectors.similar(v, d, d.where("doc_id % 2 = 0"), 5, dim=8, **options).collect()
+        for r in d.where("doc_id % 2 = 0").collect():
+            own = f"{r.collection}/{r.path}"
+            want = _most_alike(unit, places, unit[places[own]], 5, own)
+            assert [g.filepath for g in sorted(got, key=lambda g: g.rank) if g.doc_id == r.doc_id] == want
+
+
 def test_a_task_passes_on_the_best_alone():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(30_000, 8))
