@@ -156,6 +156,41 @@ def test_similar_documents_in_blocks(spark, shared_contents):
             assert [g.filepath for g in sorted(got, key=lambda g: g.rank) if g.doc_id == r.doc_id] == want
 
 
+def test_equal_vectors_and_sources_meet_once(spark, shared_contents, monkeypatch):
+    d, v, places, unit = shared_contents
+    copies = spark.range(12).withColumnRenamed("id", "i")
+    many = d.join(copies).withColumns({"doc_id": F.col("doc_id") + 1000 * F.col("i"), "hash": F.concat("hash", F.col("i").cast("string")), "path": F.concat("path", F.format_string("-%02d", "i"))}).drop("i")
+    stored = v.join(copies).withColumns({"vid": F.col("vid") + 1000 * F.col("i"), "hash": F.concat("hash", F.col("i").cast("string"))}).drop("i")
+    met, search = [], vectors._blocked_search
+
+    def counted(mine, asked, *rest):
+        met.append((mine.count(), asked.count()))
+        return search(mine, asked, *rest)
+
+    monkeypatch.setattr(vectors, "_blocked_search", counted)
+    got = vectors.similar(stored, many, many.where("doc_id % 2 = 0"), 5, dim=8, block=3, part=9).collect()
+    distinct = len({e.tobytes() for i in unit for e in unit[i]})
+    assert met[0][0] <= 6 * distinct and met[0][1] <= distinct < stored.count() / 12
+    where = {f"{f}-{i:02}": j for f, j in places.items() for i in range(12)}
+    for r in many.where("doc_id % 2 = 0 and doc_id < 2000").collect():
+        own = f"{r.collection}/{r.path}"
+        assert [g.filepath for g in sorted(got, key=lambda g: g.rank) if g.doc_id == r.doc_id] == _most_alike(unit, where, unit[where[own]], 5, own)
+
+
+def test_similar_documents_of_repeated_rows(spark, shared_contents):
+    d, v, places, unit = shared_contents
+    copies = spark.range(8).withColumnRenamed("id", "i")
+    many = d.join(copies).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("i")).drop("i")  # each filepath eight times
+    stored = v.join(copies).withColumn("vid", F.col("vid") + 1000 * F.col("i")).drop("i")
+    sources = many.where("doc_id % 100 = 2")
+    for options in ({}, {"block": 3, "part": 9}):
+        got = vectors.similar(stored, many, sources, 5, dim=8, **options).collect()
+        for r in sources.collect():
+            own = f"{r.collection}/{r.path}"
+            want = _most_alike(unit, places, unit[places[own]][:1], 5, own)  # the first eight vectors are one
+            assert [g.filepath for g in sorted(got, key=lambda g: g.rank) if g.doc_id == r.doc_id] == want
+
+
 def test_a_task_passes_on_the_best_alone():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(30_000, 8))
